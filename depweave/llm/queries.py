@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depweave.llm import contamination, languages, quality, secret_scan
+from depweave.llm import contamination, languages, near_duplicates, quality, secret_scan
 from depweave.llm.common import held_out, small_batches, table, trainable
 
 
@@ -33,6 +33,12 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    found = near_duplicates.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("is_first", F.col("doc_id") == F.col("class_id"))
+
+
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP5_SQL = f"""
@@ -54,5 +60,5 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op5_decontamination, op8_quality, op9_secrets)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op5_decontamination, op8_quality, op9_secrets, op10_near_duplicates)}
 ORACLES = {"op5_decontamination": OP5_SQL}
