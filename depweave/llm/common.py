@@ -53,7 +53,7 @@ def struct_udf(each: Callable[[list], list[list]], fields: list[tuple[str, pa.Da
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for values in batches:
             got = each(values.to_pylist())
-            yield pa.StructArray.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(got, fields, strict=True)], names=[n for n, _ in fields])
+            yield pa.StructArray.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, kind) for x, (_, kind) in zip(got, fields, strict=True)], names=[n for n, _ in fields])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, ddl).asNondeterministic()
