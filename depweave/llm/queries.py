@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depweave.llm import contamination, languages, near_duplicates, quality, secret_scan
+from depweave.llm import contamination, dialogues, languages, near_duplicates, pieces, quality, secret_scan, url_rules
 from depweave.llm.common import held_out, small_batches, table, trainable
 
 
@@ -16,11 +16,30 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.predict(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), model).drop("text")
 
 
+def op2_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dialogues.rotate(table(spark, sf_dir, "conversations"))
+    spans = F.transform("targets", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string")))
+    return found.withColumn("targets", F.array_join(spans, ","))
+
+
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    words = pieces.vocabulary(spark)
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), words)
+    return pieces.decode(coded, words).select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return contamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    marks = table(spark, sf_dir, "labels").where("quality is not null").groupBy(F.col("doc_id").alias("page_id")).agg((F.min("quality") == 0).alias("bad"))
+    return url_rules.judge(pages, pages.join(marks, "page_id").select("url", "bad"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
@@ -60,5 +79,18 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op5_decontamination, op8_quality, op9_secrets, op10_near_duplicates)}
-ORACLES = {"op5_decontamination": OP5_SQL}
+OP2_SQL = """
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+w AS (SELECT DISTINCT conv_id AS of, role AS perspective FROM t WHERE role NOT IN ('', 'system')),
+r AS (SELECT conv_id, perspective, CAST(floor(turn / 256) AS BIGINT) AS part, turn, role, text, role = perspective AS own,
+             '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant' WHEN role = '' THEN 'user'
+                               ELSE 'user name=' || role END || chr(10) AS head
+      FROM t JOIN w ON t.conv_id IS NOT DISTINCT FROM w.of),
+s AS (SELECT *, sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS stop FROM r)
+SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS text,
+       coalesce(string_agg(CASE WHEN own THEN CAST(CAST(stop - 11 - length(text) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(stop - 1 AS BIGINT) AS VARCHAR) END, ',' ORDER BY turn, role, text), '') AS targets
+FROM s GROUP BY conv_id, perspective, part
+"""
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_perspectives, op3_pieces, op5_decontamination, op7_url_filter, op8_quality, op9_secrets, op10_near_duplicates)}
+ORACLES = {"op2_perspectives": OP2_SQL, "op5_decontamination": OP5_SQL}
