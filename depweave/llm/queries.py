@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depweave.llm import contamination, dialogues, languages, near_duplicates, pieces, quality, secret_scan, url_rules
+from depweave.llm import contamination, dialogues, languages, near_duplicates, pieces, quality, secret_scan, url_rules, wrappers
 from depweave.llm.common import held_out, small_batches, table, trainable
 
 
@@ -34,6 +34,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     marks = table(spark, sf_dir, "labels").where("quality is not null").groupBy(F.col("doc_id").alias("page_id")).agg((F.min("quality") == 0).alias("bad"))
@@ -92,5 +97,5 @@ SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(head || text
 FROM s GROUP BY conv_id, perspective, part
 """
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_perspectives, op3_pieces, op5_decontamination, op7_url_filter, op8_quality, op9_secrets, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_perspectives, op3_pieces, op5_decontamination, op6_main_text, op7_url_filter, op8_quality, op9_secrets, op10_near_duplicates)}
 ORACLES = {"op2_perspectives": OP2_SQL, "op5_decontamination": OP5_SQL}

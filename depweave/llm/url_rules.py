@@ -40,18 +40,20 @@ def tokens(url: Column) -> Column:
     return F.coalesce(F.array_distinct(found), F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", *, support: float = 0.002, confidence: float = 0.5, lift: float = 1.5) -> DataFrame:
+def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", *, support: float = 0.002, least_rows: int = 20, confidence: float = 0.5, lift: float = 1.5) -> DataFrame:
     """Rules ``rule_id, antecedent, confidence, support`` by which a URL with all tokens of the antecedent is bad.
 
     ``labelled``: a URL and a boolean; rows with a null in either teach nothing. A rule is kept if
-    its tokens and the label meet in at least ``support`` of the rows, if at least ``confidence`` of
+    its tokens and the label meet in at least ``support`` of the rows and in ``least_rows`` of them
+    (fewer prove nothing, however often they are bad), if at least ``confidence`` of
     the rows with its tokens are bad and if that is at least ``lift`` times the share of bad rows,
     and pruned if a rule of some of its tokens is as sure. At most 1 / ``support`` x tokens of a URL
     single tokens are frequent, which bounds what the driver sees, however many URLs there are.
     """
     items = F.when(F.col(bad), F.array_append(tokens(F.col(url)), F.lit(BAD))).otherwise(tokens(F.col(url)))
     known = labelled.where(F.col(url).isNotNull() & F.col(bad).isNotNull()).select(items.alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(known)
+    share = min(1.0, max(support, least_rows / max(1, known.count())))
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(known)
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BAD) & (F.col("lift") >= lift)).select(
         F.array_sort("antecedent").alias("antecedent"), "confidence", "support"
     )
