@@ -171,3 +171,9 @@ def digest(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
 def items_hash(items: set[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of docs, with their columns as they are, that are not contaminated."""
+    name = fresh(docs, "overlap")
+    return scan(docs, benchmark, text, out=name).where(~F.col(f"{name}.contaminated")).drop(name)

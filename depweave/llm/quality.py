@@ -196,3 +196,11 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", threshold: f
     out = fresh(docs, "found")
     kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     return docs.withColumn(out, run(F.col(text))).select(*kept, f"{out}.score", f"{out}.predicted")
+
+
+def keep(docs: DataFrame, model: QualityModel, text: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, with their columns as they are, whose score is ``threshold`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    run = struct_udf(lambda texts: [[score_text(shared.value, t or "") for t in texts]], [("score", pa.float64())], "score double")
+    name = fresh(docs, "found")
+    return docs.withColumn(name, run(F.col(text))).where(F.col(f"{name}.score") >= threshold).drop(name)
