@@ -8,6 +8,7 @@ some thousand segments.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 
@@ -18,6 +19,11 @@ LANES, BLOCKS = 4096, 1 << 14
 _U8, _U64 = np.uint8, np.uint64
 
 
+@lru_cache(64)
+def _once(table: bytes) -> np.ndarray:
+    return _at_once(_lookup(table[:16], table[16:]))
+
+
 def _canonical(counts: list[int], symbols: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Code and length of each symbol: codes count up within a length and double from one to the next."""
     codes, lengths, code, at = np.zeros(256, np.uint32), np.zeros(256, np.uint8), 0, 0
@@ -43,6 +49,7 @@ def _at_once(table: np.ndarray) -> np.ndarray:
     return np.where(fits, used + size + 64 * run + 1024 * (value + (1 << 15)), -1).astype(np.int64)
 
 
+@lru_cache(64)
 def _lookup(counts: bytes, symbols: bytes) -> np.ndarray:
     """For every 16 bits the symbol and the length of the code that they begin with, as symbol * 32 + length."""
     codes, lengths = _canonical(list(counts), list(symbols))
@@ -118,12 +125,22 @@ def _dc_items(values: np.ndarray, component: np.ndarray, segments: np.ndarray) -
     return (_DC_CODES[0][size].astype(np.int64) << size) | extra, _DC_CODES[1][size].astype(np.int64) + size
 
 
-def _ac_items(blocks: np.ndarray, al: int, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First pass over a band: runs of zeros with the value that ends them, and the end of the block."""
+def _ac_items(blocks: np.ndarray, al: int, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First pass over a band: runs of zeros with the value that ends them, and the end of the block; also the items of each block."""
     values = np.where(blocks < 0, -(-blocks >> al), blocks >> al)
-    if values.all():
-        place = values.ravel() + _REACH
-        return _RUN_CODES[place], _RUN_LENGTHS[place], np.repeat(segments, blocks.shape[1])
+    width, full = blocks.shape[1], values.all(axis=1)
+    if full.any():
+        some = np.flatnonzero(~full)
+        codes, lengths, _, rest = _ac_items(blocks[some], al, segments[some]) if len(some) else (None, None, None, np.zeros(0, np.int64))
+        per_row = np.full(len(blocks), width)
+        per_row[some] = rest
+        out, sizes = np.empty(int(per_row.sum()), np.int32), np.empty(int(per_row.sum()), np.int32)
+        mine = np.repeat(full, per_row)
+        place = values[full].ravel() + _REACH
+        out[mine], sizes[mine] = _RUN_CODES[place], _RUN_LENGTHS[place]
+        if len(some):
+            out[~mine], sizes[~mine] = codes, lengths
+        return out, sizes, np.repeat(segments, per_row), per_row
     row, k = np.nonzero(values)
     before = np.full(len(k), -1)
     same = row[1:] == row[:-1]
@@ -142,7 +159,7 @@ def _ac_items(blocks: np.ndarray, al: int, segments: np.ndarray) -> tuple[np.nda
     codes[place], lengths[place] = code, length
     at_end = (np.cumsum(per_row) + np.cumsum(ends) - 1)[ends]
     codes[at_end], lengths[at_end] = int(_AC_CODES[0][0]), int(_AC_CODES[1][0])
-    return codes, lengths, np.repeat(segments, per_row + ends)
+    return codes, lengths, np.repeat(segments, per_row + ends), per_row + ends
 
 
 def _refine_items(blocks: np.ndarray, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -251,6 +268,7 @@ def whole(n_blocks: int) -> int:
     return 6 * cols * -(-m // cols)
 
 
+@lru_cache(256)
 def _mcu_order(rows: int, cols: int) -> tuple[np.ndarray, np.ndarray]:
     m = rows * cols
     y = np.arange(4 * m).reshape(rows, 2, cols, 2).transpose(0, 2, 1, 3).reshape(m, 4)
@@ -281,7 +299,7 @@ def _entropy_group(group: list, high: int, low: int, dc: bool) -> list[list[byte
     elif dc:
         codes, lengths = ((blocks[:, 0] >> low) & 1).astype(np.int64), np.ones(len(blocks), np.int64)
     elif not high:
-        codes, lengths, segments = _ac_items(blocks, low, segments)
+        codes, lengths, segments, _ = _ac_items(blocks, low, segments)
     else:
         codes, lengths, segments = _refine_items(blocks, segments)
     raw, lengths = pack(codes, lengths, segments, total)
@@ -413,20 +431,26 @@ def _lay_out(image: Image) -> None:
 
 def _scan_blocks(image: Image, scan: Scan) -> tuple[np.ndarray, np.ndarray, int]:
     """Blocks in the order of a scan, the part of the scan that each belongs to, and blocks between restarts (0: none)."""
-    hm, vm = max(c.h for c in image.components), max(c.v for c in image.components)
-    if len(scan.parts) == 1:
-        c = image.components[scan.parts[0][0]]
-        rows, cols = -(-(-(-image.height * c.v // vm)) // 8), -(-(-(-image.width * c.h // hm)) // 8)
-        order = (c.first + np.arange(rows)[:, None] * c.cols + np.arange(cols)[None, :]).ravel()
-        return order, np.zeros(len(order), np.int64), scan.restart
+    grid = tuple((c.h, c.v, c.first, c.rows, c.cols) for c in image.components)
+    order, parts, unit = _scan_order(image.height, image.width, grid, tuple(i for i, _, _ in scan.parts))
+    return order, parts, scan.restart * unit
+
+
+@lru_cache(256)
+def _scan_order(height: int, width: int, grid: tuple, chosen: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, int]:
+    hm, vm = max(c[0] for c in grid), max(c[1] for c in grid)
+    if len(chosen) == 1:
+        h, v, first, _, cols = grid[chosen[0]]
+        down, across = -(-(-(-height * v // vm)) // 8), -(-(-(-width * h // hm)) // 8)
+        order = (first + np.arange(down)[:, None] * cols + np.arange(across)[None, :]).ravel()
+        return order, np.zeros(len(order), np.int64), 1
     orders, parts = [], []
-    for p, (i, _, _) in enumerate(scan.parts):
-        c = image.components[i]
-        grid = np.arange(c.first, c.first + c.rows * c.cols).reshape(c.rows // c.v, c.v, c.cols // c.h, c.h).transpose(0, 2, 1, 3).reshape(-1, c.v * c.h)
-        orders.append(grid)
-        parts += [p] * grid.shape[1]
+    for p, i in enumerate(chosen):
+        h, v, first, rows, cols = grid[i]
+        orders.append(np.arange(first, first + rows * cols).reshape(rows // v, v, cols // h, h).transpose(0, 2, 1, 3).reshape(-1, v * h))
+        parts += [p] * (v * h)
     order = np.concatenate(orders, axis=1)
-    return order.ravel(), np.tile(np.array(parts), len(order)), scan.restart * len(parts)
+    return order.ravel(), np.tile(np.array(parts), len(order)), len(parts)
 
 
 def decode_scans(images: list[Image]) -> None:
@@ -445,37 +469,36 @@ def decode_scans(images: list[Image]) -> None:
 
 
 def _decode_alike(blocks: np.ndarray, scans: list, parts: tuple, band: tuple, tables: dict) -> None:
-    lanes_at, lanes_n, orders, owners, datas, starts, held, at = [], [], [], [], [], [], 0, 0
-    for base, image, scan in scans:
-        order, part, unit = _scan_blocks(image, scan)
-        raw = np.frombuffer(scan.data, _U8)
-        ff = np.flatnonzero(raw[:-1] == 255)
-        nxt = raw[ff + 1]
-        drop = np.zeros(len(raw), bool)
-        drop[ff[nxt == 0] + 1] = True
-        marks = ff[(nxt >= 0xD0) & (nxt <= 0xD7)]
-        drop[marks] = drop[marks + 1] = True
-        kept = np.cumsum(~drop)
-        begin = np.concatenate([[0], kept[marks]])
-        n = -(-len(order) // unit) if unit else 1
-        begin = begin[:n]
-        size = np.full(len(begin), unit or len(order))
-        size[-1] = len(order) - size[:-1].sum()
-        lanes_at.append(held + np.cumsum(size) - size)
-        lanes_n.append(size)
-        starts.append(at + begin)
-        orders.append(base + order)
-        owners.append(part)
-        datas.append(raw[~drop])
-        held, at = held + len(order), at + len(datas[-1])
-    data = np.concatenate([*datas, np.zeros(24, _U8)])
-    lanes_at, lanes_n, starts, order, owner = map(np.concatenate, (lanes_at, lanes_n, starts, orders, owners))
+    ordered = [_scan_blocks(image, scan) for _, image, scan in scans]
+    held = np.array([len(o) for o, _, _ in ordered])
+    unit = np.array([u or len(o) for o, _, u in ordered])
+    lanes = -(-held // unit)
+    order = np.concatenate([base + o for (base, _, _), (o, _, _) in zip(scans, ordered, strict=True)])
+    owner = np.concatenate([p for _, p, _ in ordered]) if len(parts) > 1 else None
+    lanes_n = np.repeat(unit, lanes)
+    lanes_n[np.cumsum(lanes) - 1] = held - (lanes - 1) * unit
+    lanes_at = np.cumsum(lanes_n) - lanes_n
+    raw = np.frombuffer(b"".join(scan.data for _, _, scan in scans), _U8)
+    files = np.cumsum([len(scan.data) for _, _, scan in scans])
+    ff = np.flatnonzero(raw[:-1] == 255)
+    after = raw[ff + 1]
+    drop = np.zeros(len(raw), bool)
+    drop[ff[after == 0] + 1] = True
+    marks = ff[(after >= 0xD0) & (after <= 0xD7)]
+    drop[marks] = drop[marks + 1] = True
+    kept = np.concatenate([[0], np.cumsum(~drop)])
+    starts = np.sort(np.concatenate([[0], kept[files[:-1]], kept[marks]]))
+    if len(starts) != len(lanes_n):
+        raise ValueError("restart markers are missing")
+    data = np.concatenate([raw[~drop], np.zeros(24, _U8)])
     looked = {}
     for p, (_, dc, ac) in enumerate(parts):
         key = (0, dc) if band[0] == 0 else (1, ac)
         if not (band[0] == 0 and band[2]):
             raw = tables[key]
             looked[p] = _lookup(raw[:16], raw[16:])
+            if band[0] and not band[2]:
+                looked[p] = looked[p], _once(raw)
     for first in range(0, len(starts), LANES):
         some = slice(first, first + LANES)
         begin = int(starts[first])
@@ -516,7 +539,7 @@ def _dc_scan(blocks, order, lane_at, lane_n, words, at, owner, looked, band) ->
             blocks[order[place], 0] |= ((word >> _U64(63)) << _U64(band[3])).astype(np.int16)
             at[live] += 1
             continue
-        which = owner[place]
+        which = np.zeros(len(live), np.int64) if owner is None else owner[place]
         found = np.zeros(len(live), np.int64)
         for p, table in looked.items():
             found = np.where(which == p, table[(word >> _U64(48)).astype(np.int64)], found)
@@ -527,7 +550,8 @@ def _dc_scan(blocks, order, lane_at, lane_n, words, at, owner, looked, band) ->
         at[live] += used + size
 
 
-def _ac_scan(blocks, order, lane_at, lane_n, words, at, table, band) -> None:
+def _ac_scan(blocks, order, lane_at, lane_n, words, at, tables, band) -> None:
+    table, once = tables
     first, last, _, low = band
     flat = blocks.reshape(-1)
     done, stop = lane_at.copy(), lane_at + lane_n
@@ -535,7 +559,6 @@ def _ac_scan(blocks, order, lane_at, lane_n, words, at, table, band) -> None:
     at = at.copy()
     live = done < stop
     done, stop, k, at = done[live], stop[live], k[live], at[live]
-    once = _at_once(table)
     block = order[done] * 64
     while len(at):
         word = words[at >> 3].byteswap() << (at & 7).astype(_U64)

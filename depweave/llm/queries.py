@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depweave.llm import contamination, dialogues, languages, near_duplicates, pieces, quality, secret_scan, url_rules, wrappers
+from depweave.llm import contamination, dialogues, languages, media, near_duplicates, pieces, quality, secret_scan, url_rules, wrappers
 from depweave.llm.common import held_out, small_batches, table, trainable
 
 
@@ -29,6 +29,11 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.decode(coded, words).select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return media.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return contamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -97,5 +102,5 @@ SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(head || text
 FROM s GROUP BY conv_id, perspective, part
 """
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_perspectives, op3_pieces, op5_decontamination, op6_main_text, op7_url_filter, op8_quality, op9_secrets, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_perspectives, op3_pieces, op4_media, op5_decontamination, op6_main_text, op7_url_filter, op8_quality, op9_secrets, op10_near_duplicates)}
 ORACLES = {"op2_perspectives": OP2_SQL, "op5_decontamination": OP5_SQL}
