@@ -68,25 +68,46 @@ def load(path: str = MODEL) -> Vocabulary:
     return Vocabulary(pieces, spelled, proto.trainer_spec.unk_id, first, proto.normalizer_spec.add_dummy_prefix)
 
 
+def _cuts(words: Vocabulary) -> re.Pattern[str] | None:
+    """Stretches between boundaries that no piece spans, so that they can be encoded apart from each other.
+
+    Where no piece has a space behind another character, that is in front of a space that follows a
+    word; where no piece has a line feed, around each line feed; and in front of marks that no piece
+    has behind a letter or digit, unless one has some mark behind what stands there. None if spaces
+    don't cut.
+    """
+    if any(" " in p.lstrip(" ") for p in words.pieces):
+        return None
+    before: dict[str, set[str]] = {m: set() for m in "!#$%&*,.?|"}
+    for p in words.pieces:
+        for x, m in zip(p, p[1:]):
+            if m in before:
+                before[m].add(x)
+    cut = [m for m, xs in before.items() if not any(x.isalnum() for x in xs)]
+    marks = re.escape("".join(cut))
+    behind = re.escape("".join(sorted(set().union(*(before[m] for m in cut))))) or " "
+    feed = "" if any("\n" in p for p in words.pieces) else "\n"
+    word = f"[^ {feed}{marks}]*"
+    return re.compile(f" *[^ {feed}]{word}" + (f"(?:(?<=[{behind}])[{marks}]{word})*" if marks else "") + ("|\n" if feed else "") + "| +")
+
+
 class Encoder:
     """Streaming Viterbi over the pieces of a vocabulary."""
 
     def __init__(self, words: Vocabulary) -> None:
         self.words = words
+        #: Nodes are lists: what follows by character, and id and score of the piece that ends here, id -1 if none does.
         self.trie: dict = {}
-        for text, found in words.pieces.items():
-            node = self.trie
+        for text, (number, score) in words.pieces.items():
+            kids, node = self.trie, None
             for c in text:
-                node = node.setdefault(c, {})
-            node[""] = found
+                node = kids.setdefault(c, [{}, -1, 0.0])
+                kids = node[0]
+            node[1:] = [number, score]
         self.unknown_score = min((s for _, s in words.pieces.values()), default=0.0) - 10
         self.memory: dict[str, array] = {}
-        # Where no piece has a space behind another character, every path has a boundary in front of a
-        # space that follows a word; where no piece has a line feed, also around each line feed. Stretches
-        # between such boundaries can be encoded apart from each other.
-        inner = any(" " in p.lstrip(" ") for p in words.pieces)
-        feeds = any("\n" in p for p in words.pieces)
-        self.stretch = None if inner else re.compile(r" *[^ ]+| +" if feeds else r" *[^ \n]+|\n| +")
+        self.older: dict[str, array] = {}
+        self.stretch = _cuts(words)
 
     def spell(self, character: str) -> list[int]:
         """Ids of a character that has no piece."""
@@ -97,58 +118,71 @@ class Encoder:
     def stream(self, text: str) -> Iterator[int]:
         """The ids of the path of the highest score; of equal paths, of the one that has the longer last piece.
 
-        Besides the part of the text that is not decided yet only the boundaries count at which a
-        piece begins that may go on; they are fewer than the longest piece has characters. Ids are
-        given out as soon as the paths to all these boundaries go through one common boundary.
+        Boundaries are settled from left to right. Pieces that begin at a boundary reach as far as
+        the longest piece, so besides what is not decided yet only a window of that length counts.
+        Ids are given out as soon as the paths to all boundaries in the window meet in a common one;
+        at the latest where no piece spans a boundary.
         """
-        trie, lowest = self.trie, self.unknown_score
-        base, best, back, open_ = 0, [0.0], [(0, 0)], []
-        limit = 2 * self.words.longest
-        for i, c in enumerate(text):
-            open_.append((i, trie))
-            going, score, came, single = [], None, None, False
-            for start, node in open_:
-                node = node.get(c)
+        trie, lowest, end, limit = self.trie, self.unknown_score, len(text), 4 * self.words.longest
+        base, best, back, found = 0, [0.0], [0], [0]
+        for start in range(end):
+            here, kids, at, single = best[start - base], trie, start, False
+            while at < end:
+                node = kids.get(text[at])
                 if node is None:
-                    continue
-                going.append((start, node))
-                if found := node.get(""):
-                    total = best[start - base] + found[1]
-                    if score is None or total > score:
-                        score, came = total, (start, found[0])
-                    single |= start == i
-            if not single and (score is None or best[i - base] + lowest > score):
-                score, came = best[i - base] + lowest, (i, -1)
-            best.append(score)
-            back.append(came)
-            open_ = going
-            if not going or len(best) > limit:
-                to = i + 1 if not going else self._common(back, base, [s for s, _ in going] + [i + 1])
+                    break
+                at += 1
+                kids, number, score = node
+                if number >= 0:
+                    single |= at == start + 1
+                    total, k = here + score, at - base
+                    while len(best) <= k:
+                        best.append(None)
+                        back.append(0)
+                        found.append(0)
+                    if best[k] is None or total > best[k]:
+                        best[k], back[k], found[k] = total, start, number
+            k = start + 1 - base
+            if not single:
+                if len(best) == k:
+                    best.append(None)
+                    back.append(0)
+                    found.append(0)
+                if best[k] is None or here + lowest > best[k]:
+                    best[k], back[k], found[k] = here + lowest, start, -1
+            if len(best) == k + 1:
+                yield from self._ids(text, back, found, base, start + 1)
+                base, best, back, found = start + 1, [best[k]], [0], [0]
+            elif k > limit:
+                live = [base + i for i in range(k, len(best)) if best[i] is not None]
+                to = self._common(back, base, live)
                 if to > base:
-                    yield from self._ids(text, back, base, to)
-                    best, back, base = best[to - base :], back[to - base :], to
-        if len(best) > 1:
-            yield from self._ids(text, back, base, base + len(best) - 1)
+                    yield from self._ids(text, back, found, base, to)
+                    best, back, found, base = best[to - base :], back[to - base :], found[to - base :], to
 
     @staticmethod
-    def _common(back: list, base: int, live: list[int]) -> int:
+    def _common(back: list[int], base: int, live: list[int]) -> int:
         """The last boundary that the paths to all live boundaries go through."""
         live = sorted(set(live))
         while len(live) > 1:  # the last boundary steps back until all have met
             last = live.pop()
-            before = max(back[last - base][0], base)
+            before = max(back[last - base], base)
             if before not in live:
                 live.append(before)
                 live.sort()
         return live[0]
 
-    def _ids(self, text: str, back: list, base: int, to: int) -> list[int]:
+    def _ids(self, text: str, back: list[int], found: list[int], base: int, to: int) -> list[int]:
         path = []
         while to > base:
-            start, found = back[to - base]
-            path.append([found] if found >= 0 else self.spell(text[start]))
+            number, start = found[to - base], back[to - base]
+            if number >= 0:
+                path.append(number)
+            else:
+                path += reversed(self.spell(text[start]))
             to = start
-        return [x for ids in reversed(path) for x in ids]
+        path.reverse()
+        return path
 
     def encode(self, text: str) -> array:
         out = array("i")
@@ -159,14 +193,16 @@ class Encoder:
         if self.stretch is None:
             out.extend(self.stream(text))
             return out
-        memory = self.memory
+        memory, older = self.memory, self.older
         for part in self.stretch.findall(text):
             ids = memory.get(part)
             if ids is None:
-                ids = array("i", self.stream(part))
+                ids = older.get(part)
+                if ids is None:
+                    ids = array("i", self.stream(part))
                 if len(part) <= LONGEST:
-                    if len(memory) >= REMEMBERED:
-                        memory.clear()
+                    if len(memory) >= REMEMBERED:  # what was not used for two rounds is forgotten
+                        self.memory, self.older = memory, older = {}, memory
                     memory[part] = ids
             out.extend(ids)
         return out
