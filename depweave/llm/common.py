@@ -44,15 +44,16 @@ def sample_share(column: Column, share: float, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), column), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30)))
 
 
-def struct_udf(each: Callable[[list], list[list]], fields: list[tuple[str, pa.DataType]], ddl: str) -> Callable[..., Column]:
-    """A column function over one column: ``each`` maps the values of a batch to a list per field.
+def struct_udf(each: Callable[[list], list[list]], fields: list[tuple[str, pa.DataType]], ddl: str, arrow: bool = False) -> Callable[..., Column]:
+    """A column function over one column: ``each`` maps the values of a batch, as a list or
+    as they come from Arrow, to a list per field.
 
     It is marked as not deterministic so that the optimizer never computes it twice.
     """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for values in batches:
-            got = each(values.to_pylist())
+            got = each(values if arrow else values.to_pylist())
             yield pa.StructArray.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, kind) for x, (_, kind) in zip(got, fields, strict=True)], names=[n for n, _ in fields])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

@@ -18,7 +18,7 @@ from depweave.llm.common import fresh, struct_udf
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _SPACE = "▁"
 #: Stretches of text whose ids are remembered by a task, and the longest one that is.
-REMEMBERED, LONGEST = 300_000, 48
+REMEMBERED, LONGEST = 200_000, 48
 _NORMAL, _BYTE, _USER = 1, 6, 4
 
 
@@ -83,7 +83,7 @@ def _cuts(words: Vocabulary) -> re.Pattern[str] | None:
         for x, m in zip(p, p[1:]):
             if m in before:
                 before[m].add(x)
-    cut = [m for m, xs in before.items() if not any(x.isalnum() for x in xs)]
+    cut = [m for m, xs in before.items() if not any(x.isalpha() or x.isdecimal() for x in xs)]
     marks = re.escape("".join(cut))
     behind = re.escape("".join(sorted(set().union(*(before[m] for m in cut))))) or " "
     feed = "" if any("\n" in p for p in words.pieces) else "\n"
@@ -208,10 +208,14 @@ class Encoder:
         return out
 
 
+def _text(words: Vocabulary, parts: list[bytes]) -> str:
+    text = b"".join(parts).decode("utf-8", "replace")
+    return text[1:] if words.prefix and text[:1] == " " else text
+
+
 def decode_ids(words: Vocabulary, ids: list[int]) -> str:
     """The text of ids; bytes that are no UTF-8 become replacement characters."""
-    text = b"".join(map(words.spelled.__getitem__, ids)).decode("utf-8", "replace")
-    return text[1:] if words.prefix and text[:1] == " " else text
+    return _text(words, [words.spelled[i] for i in ids])
 
 
 _encoders: dict[int, Encoder] = {}
@@ -248,10 +252,14 @@ def decode(docs: DataFrame, words: Vocabulary, ids: str = "ids", out: str = "dec
     """The rows of docs with ``out``, the text of the ids; null gives null, no ids an empty text."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
-    def each(rows: list) -> list[list]:
-        return [[None if r is None else decode_ids(shared.value, r) for r in rows]]
+    def each(rows: pa.ListArray) -> list[list]:
+        words = shared.value
+        ends = rows.offsets.to_numpy()
+        spelled = np.array(words.spelled, object).take(rows.values.to_numpy())
+        known = rows.is_valid().to_pylist()
+        return [[_text(words, spelled[a:b].tolist()) if ok else None for a, b, ok in zip(ends, ends[1:], known)]]
 
-    run = struct_udf(each, [("text", pa.string())], "text string")
+    run = struct_udf(each, [("text", pa.string())], "text string", arrow=True)
     name = fresh(docs, "found")
     kept = [c for c in docs.columns if c.lower() != out.lower()]
     return docs.withColumn(name, run(F.col(ids))).select(*kept, F.col(f"{name}.text").alias(out))
