@@ -1 +1 @@
-
+"""Column functions: identities, names, texts."""

@@ -1 +1 @@
-
+"""Where facts come from and where snapshots go."""
