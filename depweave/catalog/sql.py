@@ -67,4 +67,4 @@ all_nodes AS (
 
 
 def facts(query: str, *more: str, recursive: bool = False) -> str:
-    return f"WITH {'RECURSIVE ' if recursive else ''}{','.join([FACTS, *more])} {query}"
+    return f"WITH {'RECURSIVE ' if recursive else ''}{','.join([FACTS, *more])} {query.lstrip()}"
