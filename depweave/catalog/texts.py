@@ -1,2 +1,125 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries over texts: snippets, tokens, C++ facts, project files, conditions, imports."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from depweave.catalog.sql import facts
+from depweave.functions import ids
+from depweave.operators import resolve as S
+from depweave.sources import cpp as C
+from depweave.sources import projects as J
+from depweave.sources.workspace import Workspace
+
+
+def line_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = Workspace(spark, sf_dir).table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    return d.select("doc_id", (F.col("line") + 1).cast("long").alias("line"), ids.snippet("raw").alias("snippet")).where("snippet is not null")
+
+
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that a page links to, distinct whatever the case, the first spelling."""
+    p = Workspace(spark, sf_dir).table("pages").select("page_id", ids.import_list(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("names"))
+    return p.select("page_id", F.size("names").cast("long").alias("n"), F.array_join("names", " ").alias("names"))
+
+
+def reference_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References by token of a document, in its prose as it stands."""
+    d = Workspace(spark, sf_dir).table("documents")
+    return C.facts(d, "references", "doc_id").groupBy("doc_id", "token", "reference_kind").agg(F.count("*").alias("n"))
+
+
+def strip_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = C.stripped(Workspace(spark, sf_dir).table("documents"))
+    return d.select("doc_id", F.length("code").cast("long").alias("n_code"), F.sha2("code", 256).alias("code_sha256"))
+
+
+def sources(w: Workspace) -> DataFrame:
+    """A C++ source for each supplier: a class whose methods stand for the parts that it delivers and call each other."""
+    parts = w.table("lineitem").select("l_suppkey", "l_partkey").distinct()
+    k, s = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
+    after = F.lead("l_partkey").over(Window.partitionBy("l_suppkey").orderBy("l_partkey")).cast("string")
+    call = F.when(after.isNotNull(), F.concat(F.lit("    a = m"), after, F.lit("(1) + 1; // next"))).otherwise(F.lit("    /* the last */ auto x = new S(2);"))
+    method = F.concat(F.lit("  int m"), k, F.lit("(int a) {\n"), call, F.lit("\n  }"))
+    rows = parts.select(s.alias("s"), "l_partkey", method.alias("method"))
+    body = rows.groupBy("s").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_partkey", "method"))), lambda x: x["method"]), "\n").alias("body"))
+    head = F.concat(F.lit('#include "base.h"\n#include <vector>\n#define S'), F.col("s"), F.lit(' 1\nh = LoadLibraryA("s'), F.col("s"), F.lit('.dll");\nGetProcAddress(h, "run");\nclass S : public Base\n{\n'))
+    return body.select(F.concat(F.lit("s"), "s").alias("document_id"), F.concat(head, "body", F.lit("\n};\n")).alias("text"))
+
+
+def cpp_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.facts(sources(Workspace(spark, sf_dir)), "declarations")
+
+
+def include_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.facts(sources(Workspace(spark, sf_dir)), "includes").select("document_id", F.col("line").cast("long").alias("line"), "target", "quoted", "snippet")
+
+
+def cpp_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols that methods of the derived sources refer to: tokens, put in the range around them, resolved by scope."""
+    docs = sources(Workspace(spark, sf_dir))
+    declared = C.facts(docs, "declarations").withColumn("key", F.concat_ws("|", "document_id", "qualified_name"))
+    refs = C.facts(docs, "references").withColumn("ref_id", F.concat_ws(":", "document_id", "line", "token"))
+    ranges = C.facts(docs, "ranges").withColumnRenamed("qualified_name", "symbol_id")
+    inside = S.enclosing_ranges(refs.select("ref_id", "document_id", "line").distinct(), ranges)
+    named = refs.select("ref_id", "token", "reference_kind").distinct().join(inside, "ref_id").select(
+        "ref_id", "token", F.col("symbol_id").alias("scope"), F.col("document_id").alias("ref_document"), F.col("line").alias("ref_line"), F.concat_ws("|", "document_id", "symbol_id").alias("ref_key"), "reference_kind",
+    )
+    found = S.resolve_scoped(named, declared.select("key", "qualified_name", "document_id", "line", "is_definition"))
+    return named.join(found.select("ref_id", F.col("key").alias("target")), "ref_id").groupBy(F.col("ref_key").alias("source"), "target", "reference_kind").agg(F.count("*").alias("reference_count"))
+
+
+def native_libraries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses that the derived sources ask for, with the library that their handle was set to."""
+    found = C.facts(sources(Workspace(spark, sf_dir)), "native")
+    calls = found.where("api = 'GetProcAddress'").withColumn("call_id", F.concat_ws(":", "document_id", "line", "name"))
+    loads = found.where("api = 'LoadLibrary' and handle is not null").withColumnRenamed("name", "library")
+    return S.handle_libraries(calls.select("call_id", "document_id", "line", "handle"), loads.select("document_id", "handle", "line", "library")).select("call_id", "document_id", "library")
+
+
+def package_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Package references of a project file for each supplier's nation, as the packages of the workspace make it."""
+    w = Workspace(spark, sf_dir)
+    line = F.concat(F.lit('<PackageReference Include="'), "name", F.lit('" Version="'), F.length("name").cast("string"), F.lit('" />'))
+    files = w.packages.groupBy("project_key").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
+    return J.package_references(files, "project_key")
+
+
+def msbuild_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers whose properties meet a condition."""
+    c = Workspace(spark, sf_dir).table("customer")
+    rows = c.select("c_custkey", F.create_map(F.lit("Segment"), F.col("c_mktsegment"), F.lit("Nation"), F.col("c_nationkey").cast("string")).alias("properties"), F.lit("'$(segment)' == 'building' And ($(Nation) >= 10 Or '$(Missing)' != '')").alias("condition"))
+    return J.conditions(rows).select("c_custkey", "active")
+
+
+def import_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects that a project reaches through its references, as files that import files."""
+    w = Workspace(spark, sf_dir)
+    return J.import_closure(w.projects.select(F.col("name").alias("project"), F.col("project_key").alias("file")), w.project_references.select(F.col("source").alias("file"), "target")).select("project", "file", F.col("hops").cast("long").alias("hops"))
+
+
+QUERIES = {f.__name__: f for f in (
+    line_snippets, page_links, reference_tokens, strip_comments, cpp_declarations, include_directives, cpp_references, native_libraries, package_refs, msbuild_conditions, import_closure,
+)}
+
+_TRIM = "trim(raw, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')"
+
+ORACLES = {
+    "line_snippets": f"""
+        SELECT doc_id, line, CASE WHEN length({_TRIM}) > 180 THEN substr({_TRIM}, 1, 177) || '...' ELSE {_TRIM} END AS snippet
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents) WHERE {_TRIM} <> ''""",
+    "page_links": """
+        WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS name, unnest(range(len(regexp_extract_all(html, 'href="([^"]*)"', 1)))) AS i FROM pages),
+        d AS (SELECT page_id, upper(trim(name)) AS u, arg_min(trim(name), i) AS name FROM a WHERE trim(name) <> '' GROUP BY ALL)
+        SELECT p.page_id, count(d.u) AS n, coalesce(string_agg(name, ' ' ORDER BY u), '') AS names FROM pages p LEFT JOIN d USING (page_id) GROUP BY p.page_id""",
+    "include_directives": """
+        SELECT 's' || k AS document_id, line, target, quoted, snippet FROM (SELECT DISTINCT l_suppkey AS k FROM lineitem)
+        CROSS JOIN (VALUES (CAST(1 AS BIGINT), 'base.h', true, '#include "base.h"'), (2, 'vector', false, '#include <vector>')) v(line, target, quoted, snippet)""",
+    "native_libraries": "SELECT 's' || k || ':5:run' AS call_id, 's' || k AS document_id, 's' || k || '.dll' AS library FROM (SELECT DISTINCT l_suppkey AS k FROM lineitem)",
+    "package_refs": facts("SELECT DISTINCT project_key, brand || ' (' || length(brand) || ')' AS package FROM ext"),
+    "msbuild_conditions": "SELECT c_custkey, c_mktsegment = 'BUILDING' AND c_nationkey >= 10 AS active FROM customer",
+    "import_closure": facts("""
+        , r AS (SELECT name AS project, project_key AS file, 0 AS hops FROM projects UNION SELECT r.project, refs.target, hops + 1 FROM r JOIN refs ON refs.source = r.file WHERE hops < 30)
+        SELECT project, file, CAST(min(hops) AS BIGINT) AS hops FROM r GROUP BY ALL""", recursive=True),
+}

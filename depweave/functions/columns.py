@@ -17,5 +17,8 @@ def blank_to_null(x: Column) -> Column:
 
 
 def ci(x: ColumnOrName) -> Column:
-    """The key under which texts that differ in case only are equal: upper case, so that ``_`` follows the letters."""
-    return F.upper(col(x))
+    """The key under which texts that differ in case only are equal: upper case, so that ``_`` follows the letters.
+
+    A sharp s has no upper case of one letter and stays.
+    """
+    return F.translate(F.upper(F.translate(col(x), "ß", "\u0001")), "\u0001", "ß")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from depweave.functions.columns import blank_to_null, col, ColumnOrName
+from depweave.functions.columns import ColumnOrName, blank_to_null, ci, col
 
 #: Names of directories that are never walked.
 IGNORED = (
@@ -121,7 +121,7 @@ def symbol_edge_kind(kind: ColumnOrName) -> Column:
 
 def import_list(names: ColumnOrName) -> Column:
     """Distinct names whatever the case, the first spelling, sorted as upper case."""
-    keyed = F.transform(F.filter(col(names), lambda x: F.trim(x) != ""), lambda x, i: F.struct(F.upper(F.trim(x)).alias("k"), i.alias("i"), F.trim(x).alias("name")))
+    keyed = F.transform(F.filter(col(names), lambda x: F.trim(x) != ""), lambda x, i: F.struct(ci(F.trim(x)).alias("k"), i.alias("i"), F.trim(x).alias("name")))
     ordered = F.array_sort(keyed)
     return F.transform(F.filter(ordered, lambda x, i: (i == 0) | (F.get(ordered, i - 1)["k"] != x["k"])), lambda x: x["name"])
 

@@ -1 +1 @@
-
+"""Streams of facts."""
