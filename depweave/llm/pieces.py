@@ -18,7 +18,7 @@ from depweave.llm.common import fresh, struct_udf
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _SPACE = "▁"
 #: Stretches of text whose ids are remembered by a task, and the longest one that is.
-REMEMBERED, LONGEST = 200_000, 48
+REMEMBERED, LONGEST = 150_000, 48
 _NORMAL, _BYTE, _USER = 1, 6, 4
 
 
@@ -232,6 +232,7 @@ def encode(docs: DataFrame, words: Vocabulary, text: str = "text", out: str = "i
 
     def each(texts: list[str | None]) -> list:
         if (encoder := _encoders.get(id(shared.value))) is None:
+            _encoders.clear()  # workers are used again; what an earlier job left would stay
             encoder = _encoders[id(shared.value)] = Encoder(shared.value)
         offsets, flat = [0], array("i")
         for t in texts:
