@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from depweave.operators.components import connected_components
 from depweave.plans.loops import until_settled
+from depweave.plans.numbering import numbered
 from depweave.plans.staging import stage, unstage
 
 #: Kinds of edges that are dependencies; all but containment.
@@ -111,8 +112,7 @@ def cycles(edges: DataFrame, members: DataFrame, graph_kind: str) -> DataFrame:
         .groupBy(F.col("c1").alias("component")).agg(F.count("*").alias("edge_count"))
     )
     sizes = m.groupBy("component").agg(F.count("*").alias("size"), F.min("node").alias("least"))
-    numbered = sizes.join(inside, "component").withColumn("_n", F.row_number().over(Window.orderBy("least")))
-    return numbered.select(F.concat(F.lit(f"{graph_kind}-cycle-"), "_n").alias("cycle_id"), F.lit(graph_kind).alias("graph_kind"), "least", "size", "edge_count")
+    return numbered(sizes.join(inside, "component"), ["least"], "_n").select(F.concat(F.lit(f"{graph_kind}-cycle-"), "_n").alias("cycle_id"), F.lit(graph_kind).alias("graph_kind"), "least", "size", "edge_count")
 
 
 def flag_cycles(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -283,7 +283,7 @@ def layers(nodes: DataFrame, edges: DataFrame, members: DataFrame, label: str =
     flat = out.agg(F.max("layer").alias("most"), F.count("*").alias("n")).first()
     if flat["most"] == 0 and flat["n"] > 6:
         size = int(-(-(flat["n"] ** 0.5) // 1))
-        out = out.withColumn("layer", F.floor((F.row_number().over(Window.orderBy(F.lower("label"), "label", "node")) - 1) / size).cast("int"))
+        out = numbered(out, [F.lower("label"), "label", "node"], "_n").withColumn("layer", F.floor((F.col("_n") - 1) / size).cast("int")).select("node", "label", "layer")
     return out
 
 

@@ -158,3 +158,11 @@ def test_layouts(spark):
     links = spark.createDataFrame([("c", "a", "b", 1)], "component string, source string, target string, weight long")
     once, again = rows(L.forces(nodes, links)), rows(L.forces(nodes, links))
     assert once == again and len(once) == 3
+
+
+def test_numbering(spark):
+    from depweave.plans.numbering import numbered
+
+    df = spark.range(1000).selectExpr("(id * 7919) % 1000 as x").repartition(7)
+    got = [(r["x"], r["n"]) for r in numbered(df, ["x"], "n").collect()]
+    assert len(got) == 1000 and all(n == x + 1 for x, n in got)
