@@ -149,6 +149,25 @@ def node_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.importance(_project_weights(Workspace(spark, sf_dir))).select("node", F.col("importance").cast("double").alias("importance"))
 
 
+def in_out_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = upper_graph(Workspace(spark, sf_dir))
+    return R.in_out_weights(edges, _projects_as_seeds(nodes))
+
+
+def document_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Workspace(spark, sf_dir)
+    owners = w.documents.select(F.col("document_id").alias("node"), F.col("document_id").alias("owner")).unionByName(w.symbols.select(F.col("symbol_id").alias("node"), F.col("document_id").alias("owner")))
+    found = R.document_importance(R.rolled_up(payload_edges(w), owners, R.DOCUMENT), w.symbols)
+    return found.select("node", F.col("importance").cast("double").alias("importance"))
+
+
+def relayout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the documents of a workspace need a new layout once those of suppliers join those of customers."""
+    docs = Workspace(spark, sf_dir).documents.select(F.col("document_id").alias("node"))
+    old = docs.where("node like 'document:c%'")
+    return G.needs_layout(old, docs, docs)
+
+
 def _layers(w: Workspace) -> DataFrame:
     refs = stage(w.project_references, "refs")
     return G.layers(w.projects.select(F.col("project_key").alias("node"), F.col("name").alias("label")), refs, G.components_of_cycles(refs))
@@ -171,7 +190,7 @@ def layer_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     project_scc, project_cycles, cycle_membership, cycle_edges, components, graph_metrics, layout_choice, performance_mode, dependency_map, impact_nodes, impact_count, seed_expansion, ownership_context,
-    neighbor_placement, placement_clusters, project_rollup, document_rollup, symbol_adjacency, node_importance, project_layers, flow_bias, layer_order,
+    neighbor_placement, placement_clusters, project_rollup, document_rollup, symbol_adjacency, node_importance, in_out_weights, document_importance, relayout, project_layers, flow_bias, layer_order,
 )}
 
 _UPPER = f"""
@@ -247,6 +266,15 @@ ORACLES = {
         WHERE x.owner <> y.owner AND {_CASE(R.DOCUMENT)} IS NOT NULL GROUP BY ALL""", GRAPH),
     "symbol_adjacency": facts(f"SELECT source AS a, target AS b, CAST(sum(weight * {_CASE(R.SYMBOL)}) AS DOUBLE) AS weight FROM kind_edges WHERE {_CASE(R.SYMBOL)} IS NOT NULL GROUP BY ALL", GRAPH),
     "node_importance": facts("SELECT node, CAST(sum(weight) AS DOUBLE) AS importance FROM (SELECT a AS node, weight FROM pw UNION ALL SELECT b, weight FROM pw) GROUP BY node", GRAPH, _OWNERS, _WEIGHTS),
+    "in_out_weights": facts("""
+        SELECT id AS seed, CAST(coalesce((SELECT sum(greatest(1, weight)) FROM uedges WHERE target = id), 0) AS BIGINT) AS incoming,
+               CAST(coalesce((SELECT sum(greatest(1, weight)) FROM uedges WHERE source = id), 0) AS BIGINT) AS outgoing FROM unodes WHERE grp = 'project'""", GRAPH, _UPPER),
+    "document_importance": facts(f"""
+        , o AS (SELECT document_id AS node, document_id AS owner FROM docs UNION ALL SELECT symbol_id, document_id FROM syms),
+        dw AS (SELECT x.owner AS a, y.owner AS b, weight * {_CASE(R.DOCUMENT)} AS weight FROM kind_edges JOIN o x ON x.node = source JOIN o y ON y.node = target WHERE x.owner <> y.owner AND {_CASE(R.DOCUMENT)} IS NOT NULL),
+        parts AS (SELECT a AS node, weight FROM dw UNION ALL SELECT b, weight FROM dw UNION ALL SELECT document_id, 0.35 FROM syms)
+        SELECT node, CAST(sum(weight) AS DOUBLE) AS importance FROM parts GROUP BY node""", GRAPH),
+    "relayout": facts("SELECT count(*) FILTER (document_id LIKE 'document:s%') >= greatest(12, floor(count(*) * 0.18)) AS relayout FROM docs"),
     "project_layers": facts("SELECT node, CAST(layer AS BIGINT) AS layer FROM layered", CYCLES, _GROUPS, recursive=True),
     "flow_bias": facts("""
         , both_ways AS (SELECT source AS a, target AS b, weight FROM refs UNION ALL SELECT target, source, weight FROM refs)
