@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depweave.operators.components import connected_components
+from depweave.plans.beside import beside
 from depweave.plans.loops import until_settled
 from depweave.plans.numbering import numbered
 from depweave.plans.staging import stage, unstage
@@ -224,8 +225,7 @@ def metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.agg(F.count("*").alias("node_count"), F.coalesce(F.sum((F.col("group") == "symbol").cast("long")), F.lit(0)).alias("symbol_count"))
     e = edges.agg(F.count("*").alias("edge_count"))
     lone = edges.where("source <> target").select(F.col("source").alias("x")).union(edges.where("source <> target").select("target")).distinct().agg(F.count("*").alias("with_edge"))
-    row = n.crossJoin(F.broadcast(e)).crossJoin(F.broadcast(linked)).crossJoin(F.broadcast(lone))  # one row each
-    return row.select(
+    return beside(n, e, linked, lone).select(
         "node_count", "edge_count", "symbol_count", (F.col("node_count") - F.col("with_edge")).alias("isolated_count"),
         (F.col("c") + F.col("node_count") - F.col("linked")).alias("component_count"),
         F.greatest("largest", F.when(F.col("node_count") > 0, 1).otherwise(0)).alias("largest_component"),
@@ -255,9 +255,9 @@ def needs_layout(before: DataFrame, now: DataFrame, positioned: DataFrame) -> Da
     """One row ``relayout``: whether at least max(12, 18 % of the larger of before and now) nodes are new, or one has no position."""
     new = now.join(before, "node", "left_anti").agg(F.count("*").alias("new"))
     bare = now.join(positioned, "node", "left_anti").agg(F.count("*").alias("bare"))
-    sizes = before.agg(F.count("*").alias("b")).crossJoin(now.agg(F.count("*").alias("n")))  # one row each
+    sizes = beside(before.agg(F.count("*").alias("b")), now.agg(F.count("*").alias("n")), new, bare)
     limit = F.greatest(F.lit(12), F.floor(F.greatest("b", "n") * 0.18))
-    return sizes.crossJoin(new).crossJoin(bare).select(((F.col("new") >= limit) | (F.col("bare") > 0)).alias("relayout"))
+    return sizes.select(((F.col("new") >= limit) | (F.col("bare") > 0)).alias("relayout"))
 
 
 def layers(nodes: DataFrame, edges: DataFrame, members: DataFrame, label: str = "label") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from depweave.functions.ids import edge_id, node_id
 from depweave.operators.edges import first_by
+from depweave.plans.beside import beside
 
 EDGE_IDENTITY = ["source", "target", "kind", "reference_kind", "confidence"]
 
@@ -74,10 +75,7 @@ def stats(projects: DataFrame, documents: DataFrame, symbols: DataFrame, native:
         count(document_edges, "document_dependency_count"), count(symbol_edges, "symbol_dependency_count"),
         cycles.agg(kind("project"), kind("document"), kind("symbol")), count(edges, "edge_count"),
     ]
-    row = parts[0]
-    for more in parts[1:]:
-        row = row.crossJoin(F.broadcast(more))  # one row each
-    return row
+    return beside(*parts)
 
 
 def as_json(nodes: DataFrame, edges: DataFrame, ordinal: str = "id") -> DataFrame:
