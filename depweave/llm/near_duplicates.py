@@ -21,6 +21,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 18, 4
 #: Later leaders of a bucket are the ids that are the least after these bits are flipped.
 ORDERS = (0x5DEECE66D1CE4E5B, 0x2545F4914F6CDD1D)
+#: Documents up to which a bucket of several classes is compared pair by pair; a larger one is joined by its rare cells. Both are exact.
+SMALL_BUCKET = 16
+#: Sizes that differ by less than this ratio are one size class in the join by rare cells.
+SIZE_STEP = 1.02
 #: Ids up to which candidates, and copies that go, are broadcast to the scan of the texts (some 20 MB); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 _PRIME, _ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(1)
@@ -189,6 +193,67 @@ def later_pairs(members: DataFrame, part: DataFrame) -> DataFrame:
     return across.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
 
 
+def open_pairs(members: DataFrame, part: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY, scratch: list[DataFrame] | None = None) -> DataFrame:
+    """Pairs ``a < b`` across classes for the buckets that leaders left with several classes: no link in them is lost.
+
+    ``part`` (``node, component``) has the classes so far. Of three documents every pair has the
+    least or the greatest id, so leaders have seen it. Small buckets give all their pairs, larger
+    ones those that may be similar by their cells.
+    """
+    scratch = [] if scratch is None else scratch
+    of = members.join(part.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("class"))
+    mixed = of.groupBy("band").agg(F.min("class").alias("c0"), F.max("class").alias("c1"), F.count("*").alias("n")).where("c0 < c1 and n > 3")
+    mixed = stage(mixed.select("band", (F.col("n") <= SMALL_BUCKET).alias("small")), "mixed")
+    left = stage(of.join(mixed, "band"), "open")
+    small = left.where("small")
+    pairs = (
+        small.select("band", F.col("id").alias("x"), F.col("class").alias("cx"))
+        .join(small.select("band", F.col("id").alias("y"), F.col("class").alias("cy")), "band").where("cx < cy")
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    )
+    scratch += [mixed, left]
+    hot = left.where("not small").select("id", "class").distinct()
+    if hot.limit(1).count():
+        pairs = pairs.unionByName(rare_pairs(docs, stage(hot, "hot"), key, text, least, scratch))
+    return pairs.distinct()
+
+
+def rare_pairs(docs: DataFrame, hot: DataFrame, key: str, text: str, least: float, scratch: list[DataFrame]) -> DataFrame:
+    """All pairs of ``hot`` (``id, class``) across classes that may be as similar as ``least``, by a prefix filter.
+
+    Cells are ordered by how many documents of hot have them. Sets of n and m cells and similarity s
+    have c (n + m) cells in common, c = s / (1 + s), so the first n - c (n + m) + 1 of the one and
+    m - c (n + m) + 1 of the other share a cell. Hence a cell of rank r counts for partners of up to
+    (n - r) / c - n cells (``reach``) only, and a text that all have is met by none that is less
+    similar. Pairs are made between classes first, so that a large class is not paired with itself.
+    """
+    wanted = hot.select("id")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    run = struct_udf(lambda ts: [[cells(normal_words(t)).view(np.int64) for t in ts]], [("cells", pa.list_(pa.int64()))], "cells array<long>")
+    sets = stage(texts.select("id", run("text").alias("r")).select("id", "r.cells"), "cells")
+    rows = sets.select("id", F.explode("cells").alias("cell"))
+    shared = stage(rows.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    ranked = rows.join(shared, "cell").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "cell"))).alias("in_order"))
+    ranked = ranked.join(sets.select("id", F.size("cells").alias("size")), "id").join(hot, "id")
+    ranked = ranked.select("id", "class", "size", (F.col("size") - F.size("in_order")).alias("alone"), F.posexplode("in_order").alias("at", "c"))
+    reach = F.floor((F.col("size") - F.col("alone") - F.col("at")) * F.lit((1 + least) / least) - F.col("size") + F.lit(1e-6))
+    lowest = F.ceil(F.col("size") * F.lit(least) - F.lit(1e-6))
+    level = lambda n: F.floor(F.log(n.cast("double")) / F.lit(float(np.log(SIZE_STEP)))).cast("int")
+    near = ranked.select("id", "class", "size", F.col("c.cell").alias("cell"), reach.alias("reach"), lowest.alias("lowest")).where("reach >= lowest")
+    near = near.select("id", "class", "size", "cell", "reach", level(F.col("size")).alias("k"), F.explode(F.sequence(level(F.col("lowest")), level(F.col("reach")))).alias("to"))
+    near = stage(near, "prefixes")
+    sides = stage(near.groupBy("cell", "k", "to", "class").agg(F.min("size").alias("size"), F.max("reach").alias("reach")), "sides")
+    scratch += [hot, sets, shared, near, sides]
+    one = sides.select("cell", "k", "to", F.col("class").alias("cx"), F.col("size").alias("n"), F.col("reach").alias("rx"))
+    two = sides.select("cell", F.col("to").alias("k"), F.col("k").alias("to"), F.col("class").alias("cy"), F.col("size").alias("m"), F.col("reach").alias("ry"))
+    both = one.join(two, ["cell", "k", "to"]).where("cx < cy and n <= ry and m <= rx").select("cell", "k", "to", "cx", "cy")
+    x = near.select("cell", "k", "to", F.col("class").alias("cx"), F.col("id").alias("x"), F.col("size").alias("n"), F.col("reach").alias("rx"))
+    y = near.select("cell", F.col("to").alias("k"), F.col("k").alias("to"), F.col("class").alias("cy"), F.col("id").alias("y"), F.col("size").alias("m"), F.col("reach").alias("ry"))
+    found = both.join(x, ["cell", "k", "to", "cx"]).join(y, ["cell", "k", "to", "cy"]).where("n <= ry and m <= rx")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def links(docs: DataFrame, pairs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY, scratch: list[DataFrame] | None = None) -> DataFrame:
     """Those of the pairs whose texts are as similar as ``least`` or more, by their whole sets of shingles."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -245,7 +310,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     later = stage(links(docs, more, key, text, least, scratch), "links")
     if later.limit(1).count():
         part = connected_components(found.unionByName(later), "a", "b")
-    for done in (members, pairs, found, more, later, *scratch):
+    rest = stage(open_pairs(members, part, docs, key, text, least, scratch).join(pairs.unionByName(more), ["a", "b"], "left_anti"), "pairs")
+    if rest.limit(1).count():
+        last = stage(links(docs, rest, key, text, least, scratch), "links")
+        scratch.append(last)
+        if last.limit(1).count():
+            part = connected_components(found.unionByName(later).unionByName(last), "a", "b")
+    for done in (members, pairs, found, more, later, rest, *scratch):
         unstage(done)
     by_id = sigs.join(part.withColumnRenamed("node", "id"), "id", "left").select("id", "same", F.coalesce("component", "id").alias("class_id"))
     named = by_id.where("id is not null").select(F.col("id").alias("doc_id"), "class_id")

@@ -85,6 +85,26 @@ def test_hot_group_makes_few_pairs(spark):
     assert N.buckets(firsts).where("id != lead").select("id", "lead").distinct().count() < 150 * 12
 
 
+def test_no_link_of_a_filled_in_form_is_lost(spark):
+    rng = random.Random(21)
+    form = [f"t{i}" for i in range(120)]
+    docs = []
+    for i in range(400):
+        own = [f"d{i}w{k}" for k in range(rng.randrange(13, 19))]
+        if i >= 340:  # similar to the document 340 before it: 0.8 to 0.85; all others have 0.7 to 0.78 with each other
+            own = [w for w in docs[i - 340][1].split() if w.startswith("d")]
+            own = own[:-8] + [f"d{i}w{k}" for k in range(8)]
+        docs.append((i, " ".join(form[:60] + own + form[60:])))
+    rng.shuffle(docs)
+    ids = list(range(400))
+    rng.shuffle(ids)
+    docs = [(i, t) for i, (_, t) in zip(ids, docs, strict=True)]
+    expected = brute_classes(docs)
+    assert 300 < len(set(expected.values())) < 390
+    got = N.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == expected
+
+
 @pytest.mark.parametrize("weighted", [False, True])
 def test_signatures_estimate_similarity(weighted):
     rng, errors = random.Random(8), []
