@@ -167,6 +167,20 @@ def test_template_text_goes_and_odd_pages_pass(spark):
     assert wrappers.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><h1>Title</h1><p>Intro</p><div class=content><p>" + "long " * 40 + "</p></div></body>", "Title\nIntro\n" + ("long " * 40).strip()),
+        ("<body><article><p>first</p></article><article><p>second and longer</p></article></body>", "first\nsecond and longer"),
+        ("<body><main><h1>Title</h1><article><header><h2>Part</h2></header><p>text</p></article></main></body>", "Title\nPart\ntext"),
+        ("<body class='has-sidebar'><div id='page-with-search'><p>the text of the page</p><div class=sidebar>links</div></div></body>", "the text of the page"),
+        ("<body><article><p>short</p></article><div id=comments><article><p>a comment of many words</p></article></div></body>", "short"),
+    ],
+)
+def test_no_text_outside_chrome_is_lost(page, text):
+    assert wrappers.extract_text(page, None) == text
+
+
 def test_tree_matching():
     slot = lambda label, *kids: wrappers.Slot(label, kids=list(kids))
     a = slot("r", slot("x", slot("y")), slot("z"), slot("w"))
