@@ -178,11 +178,45 @@ def test_template_text_goes_and_odd_pages_pass(spark):
     ],
 )
 def test_no_text_outside_chrome_is_lost(page, text):
-    assert wrappers.extract_text(page, None) == text
+    assert wrappers.extract_text(page) == text
+
+
+def test_wrapper_decides_without_names_or_articles(spark):
+    """Meaningless marks, three layouts, no article, few rows of the third layout; the same page often."""
+    top = "<div class='q1'>Fine things</div><div class='q2'><span>All</span> <a href='/'>Home</a></div>"
+    layouts = [
+        lambda i: f"<body>{top}<div id='z{i}'><p>Send it to friends</p><p>story {i} one</p><p>story {i} two</p><p>Read on below</p></div><div class='q7'>House rules apply</div></body>",
+        lambda i: f"<body>{top}<table><tr><td class='k'><div>Ten best</div></td><td><h2>head {i}</h2>line {i}<ul><li>a {i}<li>b {i}</ul></td></tr></table></body>",
+        lambda i: f"<body><div class='q9'>Old design</div>{top}<div>words {i}</div><div class='q5'>words at the end {i}</div></body>",
+    ]
+    data = [(i, f"http://plain.example/{i}", layouts[min(i % 10, 2) if i % 10 < 3 else i % 2](i)) for i in range(120)]
+    data += [(1000 + i, f"http://plain.example/copy{i}", layouts[0](0)) for i in range(300)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(data)
+    for i, _, page in data:
+        n = 0 if i >= 1000 else i
+        want = f"story {n} one\nstory {n} two" if "Send it" in page else f"head {n}\nline {n}\na {n}\nb {n}" if "Ten best" in page else f"words {n}\nwords at the end {n}"
+        assert got[i] == want, (i, got[i])
+
+
+@pytest.mark.parametrize("tag", ["div", "b", "p", "table><tr><td", "ul><li"])
+def test_deep_nesting_passes(tag):
+    page = f"<{tag}>" * 100_000 + "text" + "</x>" * 100_000 + "<td>" * 20_000
+    assert wrappers.extract_text(page) == "text"
+    wrapper = wrappers.induce([page, "<div>" * 100_000 + "text</div>other"])
+    assert wrapper is None or wrappers.extract_text(page, wrapper, ["0:x"]) == "text"
+
+
+def test_wide_trees_are_matched_in_order():
+    slot = lambda label, *kids: wrappers.Slot(label, list(kids))
+    a = slot("r", *(slot("xy"[i % 2]) for i in range(3000)))
+    b = slot("r", slot("z"), *(slot("xy"[i % 2]) for i in range(3000)))
+    size, pairs = wrappers.match(a, b)
+    assert size == len(pairs) == 3001 and all(x.label == y.label for x, y in pairs)
 
 
 def test_tree_matching():
-    slot = lambda label, *kids: wrappers.Slot(label, kids=list(kids))
+    slot = lambda label, *kids: wrappers.Slot(label, list(kids))
     a = slot("r", slot("x", slot("y")), slot("z"), slot("w"))
     b = slot("r", slot("z"), slot("x", slot("y"), slot("q")), slot("w"))
     size, pairs = wrappers.match(a, b)
