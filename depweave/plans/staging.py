@@ -6,6 +6,7 @@ but is computed once, keeps its columns prunable and survives the loss of any ex
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,11 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests, one machine), a new local one."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset on one machine, a new local one, and on a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("spark.depweave.staging", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="depweave-")
         spark.conf.set("spark.depweave.staging", found)
     return found.rstrip("/")
