@@ -17,7 +17,7 @@ from depweave.llm.common import fresh, struct_udf
 #: Where the public vocabulary lies that queries use; a parameter everywhere.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _SPACE = "▁"
-#: Stretches of text whose ids are remembered by a task, and the longest one that is.
+#: Stretches of text whose ids are remembered by a task (it saves time only), and the longest one that is.
 REMEMBERED, LONGEST = 150_000, 48
 _NORMAL, _BYTE, _USER = 1, 6, 4
 
@@ -118,64 +118,82 @@ class Encoder:
     def stream(self, text: str) -> Iterator[int]:
         """The ids of the path of the highest score; of equal paths, of the one that has the longer last piece.
 
-        Boundaries are settled from left to right. Pieces that begin at a boundary reach as far as
-        the longest piece, so besides what is not decided yet only a window of that length counts.
-        Ids are given out as soon as the paths to all boundaries in the window meet in a common one;
-        at the latest where no piece spans a boundary.
+        Scores are kept for the boundaries that a piece may still reach, no more than the longest
+        piece is long. Behind that window a boundary which no surviving path goes through is
+        forgotten, and as soon as all surviving paths go through one boundary, the ids up to it are
+        given out. Every boundary is settled once and forgotten once, so the time is linear in the
+        text; what is retained besides the window are the surviving paths since they last met.
         """
-        trie, lowest, end, limit = self.trie, self.unknown_score, len(text), 4 * self.words.longest
-        base, best, back, found = 0, [0.0], [0], [0]
+        trie, lowest, end, window = self.trie, self.unknown_score, len(text), self.words.longest
+        # By boundary from `base` on: the best piece that ends there, how many paths go on from it, and the sum of their first steps.
+        base = root = 0
+        length, found, kids, steps = [0], [0], [0], [0]
+        low, best = 0, [0.0]  # by boundary from `low` on
         for start in range(end):
-            here, kids, at, single = best[start - base], trie, start, False
+            here, kin, at, single = best[start - low], trie, start, False
             while at < end:
-                node = kids.get(text[at])
+                node = kin.get(text[at])
                 if node is None:
                     break
                 at += 1
-                kids, number, score = node
+                kin, number, score = node
                 if number >= 0:
                     single |= at == start + 1
-                    total, k = here + score, at - base
+                    total, k = here + score, at - low
                     while len(best) <= k:
                         best.append(None)
-                        back.append(0)
+                        length.append(0)
                         found.append(0)
+                        kids.append(0)
+                        steps.append(0)
                     if best[k] is None or total > best[k]:
-                        best[k], back[k], found[k] = total, start, number
-            k = start + 1 - base
+                        best[k], length[at - base], found[at - base] = total, at - start, number
+            k = start + 1 - low
             if not single:
                 if len(best) == k:
                     best.append(None)
-                    back.append(0)
+                    length.append(0)
                     found.append(0)
+                    kids.append(0)
+                    steps.append(0)
                 if best[k] is None or here + lowest > best[k]:
-                    best[k], back[k], found[k] = here + lowest, start, -1
-            if len(best) == k + 1:
-                yield from self._ids(text, back, found, base, start + 1)
-                base, best, back, found = start + 1, [best[k]], [0], [0]
-            elif k > limit:
-                live = [base + i for i in range(k, len(best)) if best[i] is not None]
-                to = self._common(back, base, live)
-                if to > base:
-                    yield from self._ids(text, back, found, base, to)
-                    best, back, found, base = best[to - base :], back[to - base :], found[to - base :], to
-
-    @staticmethod
-    def _common(back: list[int], base: int, live: list[int]) -> int:
-        """The last boundary that the paths to all live boundaries go through."""
-        live = sorted(set(live))
-        while len(live) > 1:  # the last boundary steps back until all have met
-            last = live.pop()
-            before = max(back[last - base], base)
-            if before not in live:
-                live.append(before)
-                live.sort()
-        return live[0]
-
-    def _ids(self, text: str, back: list[int], found: list[int], base: int, to: int) -> list[int]:
+                    best[k], length[start + 1 - base], found[start + 1 - base] = here + lowest, 1, -1
+            if len(best) == k + 1:  # no piece spans the next boundary: all paths meet in it
+                yield from self._ids(text, length, found, base, root, start + 1)
+                base = root = low = start + 1
+                length, found, kids, steps, best = [0], [0], [0], [0], [best[k]]
+                continue
+            settled = start + 1 - base  # no piece that begins later ends here
+            step = length[settled]
+            kids[settled - step] += 1
+            steps[settled - step] += step
+            closed = start + 1 - window  # no piece from here on is still to be settled
+            if closed < root:
+                continue
+            dead = closed
+            while dead > root and not kids[dead - base]:
+                step = length[dead - base]
+                dead -= step
+                kids[dead - base] -= 1
+                steps[dead - base] -= step
+            before = root
+            while root <= closed and kids[root - base] == 1:
+                root += steps[root - base]
+            if root > before:
+                yield from self._ids(text, length, found, base, before, root)
+            if root - base > 4096:
+                del length[: root - base], found[: root - base], kids[: root - base], steps[: root - base]
+                base = root
+            if start - low > 4096:
+                del best[: start - low]
+                low = start
+        yield from self._ids(text, length, found, base, root, end)
+
+    def _ids(self, text: str, length: list[int], found: list[int], base: int, since: int, to: int) -> list[int]:
+        """Ids of the path from one boundary to another."""
         path = []
-        while to > base:
-            number, start = found[to - base], back[to - base]
+        while to > since:
+            number, start = found[to - base], to - length[to - base]
             if number >= 0:
                 path.append(number)
             else:
@@ -185,6 +203,7 @@ class Encoder:
         return path
 
     def encode(self, text: str) -> array:
+        """The ids of a whole text. All paths meet where it is cut into stretches, so they are streamed one by one, each once while it is remembered."""
         out = array("i")
         if not text:
             return out
