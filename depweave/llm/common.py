@@ -40,8 +40,8 @@ def trainable(doc_id: Column) -> Column:
 
 
 def sample_share(column: Column, share: float, seed: int) -> Column:
-    """A sample by hash of so large a share, the same rows at every run."""
-    return F.pmod(F.xxhash64(F.lit(seed), column), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30)))
+    """A sample by hash of so large a share, the same rows at every run; exact to a share of 2**-62."""
+    return F.pmod(F.xxhash64(F.lit(seed), column), F.lit(1 << 62)) < F.lit(int(min(1.0, share) * (1 << 62)))
 
 
 def struct_udf(each: Callable[[list], list[list]], fields: list[tuple[str, pa.DataType]], ddl: str, arrow: bool = False) -> Callable[..., Column]:

@@ -15,6 +15,8 @@ from depweave.llm.common import fresh, sample_share, struct_udf
 
 #: Characters that are hashed at once; longer texts are scored piece by piece.
 PIECE = 1 << 19
+#: What counts as a letter after lower-casing.
+_NONE = re.compile("[^a-z\xaa-\U0010ffff]+")
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -30,26 +32,37 @@ class LanguageModel:
     bits: int
 
 
-def _pieces(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
-    """Groups of about PIECE characters, with the place in texts of each part."""
-    owners, parts, held = [], [], 0
+def _pieces(texts: list[str], overlap: int) -> Iterator[tuple[list[int], list[str], list[int]]]:
+    """Groups of about PIECE characters: the place in texts of each part, the part, and how many characters before it come with it.
+
+    A text that is longer is cut after each PIECE characters; the next part begins with the last
+    ``overlap`` of those before, so that grams across the cut are found there.
+    """
+    owners, parts, heads, held = [], [], [], 0
     for i, text in enumerate(texts):
+        text, tail = text.lower(), ""
         for at in range(0, max(1, len(text)), PIECE):
-            part = text[at : at + PIECE].lower()
+            part = text[at : at + PIECE]
+            if len(text) > PIECE:
+                part = _NONE.sub(" ", part)
+                part = tail + (part[1:] if tail[-1:] == " " == part[:1] else part)
             owners.append(i)
             parts.append(part)
+            heads.append(len(tail))
+            tail = part[-overlap:] if overlap else ""
             held += len(part)
             if held >= PIECE:
-                yield owners, parts
-                owners, parts, held = [], [], 0
+                yield owners, parts, heads
+                owners, parts, heads, held = [], [], [], 0
     if parts:
-        yield owners, parts
+        yield owners, parts, heads
 
 
-def gram_buckets(parts: list[str], orders: tuple[int, ...], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def gram_buckets(parts: list[str], heads: list[int], orders: tuple[int, ...], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each order the buckets of all grams, 2**bits where there is none, and where the grams of each part begin.
 
-    Runs of characters that are no letters count as one space; no gram crosses from one part into the next.
+    Runs of characters that are no letters count as one space; no gram crosses from one part into
+    the next, and none counts that ends in the first ``heads`` characters of a part.
     """
     codes = np.frombuffer(("\n".join(parts) + "\n").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
@@ -70,6 +83,9 @@ def gram_buckets(parts: list[str], orders: tuple[int, ...], bits: int) -> Iterat
             bad |= none[k : k + n]
         if order == 1:
             bad |= codes[:n] == 32
+        for start, head in zip(starts.tolist(), heads, strict=True):
+            if head >= order:
+                bad[start : start + head - order + 1] = True
         hashed ^= hashed >> np.uint32(15)
         hashed *= np.uint32(0x2C1B3C6D)
         buckets = (hashed >> np.uint32(32 - bits)).astype(np.int32)
@@ -96,9 +112,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         sums = np.zeros((len(place), size), np.int64)
         for batch in batches:
             texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
-            for owners, parts in _pieces(texts):
+            for owners, parts, heads in _pieces(texts, max(orders) - 1):
                 which = np.array([place[langs[i]] for i in owners])
-                for buckets, starts in gram_buckets(parts, orders, bits):
+                for buckets, starts in gram_buckets(parts, heads, orders, bits):
                     of = np.repeat(which, np.diff(np.append(starts, len(buckets))))
                     sums += np.bincount(of * size + buckets, minlength=sums.size).reshape(sums.shape)
         at_lang, at_bucket = np.nonzero(sums[:, :-1])
@@ -107,8 +123,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     counts = np.zeros((len(languages), size - 1))
     if languages:
         sample = rows.where(sample_share(F.col("key"), sample_rows / max(1, total), 1))
-        for r in sample.mapInArrow(count, "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).collect():
-            counts[r["l"], r["b"]] = r["n"]
+        summed = sample.mapInArrow(count, "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()
+        counts[summed["l"].to_numpy(), summed["b"].to_numpy()] = summed["n"].to_numpy()
     weights = np.log(counts + smoothing) - np.log((counts + smoothing).sum(axis=1, keepdims=True))
     weights = np.concatenate([weights, np.zeros((len(languages), 1))], axis=1).astype(np.float32)
     prior = np.log(np.array([by_lang[x] for x in languages], float) / max(1, total))
@@ -118,9 +134,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 def log_odds(model: LanguageModel, texts: list[str]) -> np.ndarray:
     """Joint log-probability of each text with each language: sparse rows of gram counts times the weights."""
     joint = np.tile(model.prior, (len(texts), 1))
-    for owners, parts in _pieces(texts):
+    for owners, parts, heads in _pieces(texts, max(model.orders) - 1):
         got = np.zeros((len(parts), len(model.languages)))
-        for buckets, starts in gram_buckets(parts, model.orders, model.bits):
+        for buckets, starts in gram_buckets(parts, heads, model.orders, model.bits):
             for at, weights in enumerate(model.weights):
                 got[:, at] += np.add.reduceat(weights.take(buckets), starts)
         np.add.at(joint, owners, got)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +40,13 @@ def indicators(text: str, bits: int) -> np.ndarray:
 
     A digit counts as 0. The shape of a word is its case, its last byte if that is ASCII and no
     letter, and how many words before it are the same word, up to 4 (so that a word said over and
-    over leaves a trace whatever the word is).
+    over leaves a trace whatever the word is). Long texts are hashed piece by piece; grams and
+    words that go on from one piece to the next are whole.
     """
     flags = np.zeros(1 << bits, bool)
-    raw = text.encode("utf-8", "surrogatepass")
-    for at in range(0, max(1, len(raw)), PIECE):
+    raw, words = text.encode("utf-8", "surrogatepass"), _Words()
+    for at in range(0, len(raw), PIECE):
         codes = np.frombuffer(raw[at : at + PIECE + OVERLAP], np.uint8).astype(np.uint32)
-        if not len(codes):
-            break
         digits = (codes >= 48) & (codes <= 57)
         if digits.any():
             codes[digits] = 48
@@ -55,39 +56,80 @@ def indicators(text: str, bits: int) -> np.ndarray:
             flags[_mix(two, bits)] = True
             if len(codes) > 2:
                 flags[_mix(two[:-1] * np.uint32(0x27D4EB2F) ^ codes[2:] * np.uint32(0x165667B1), bits)] = True
-        shapes = _shapes(codes)
+        before, shapes = words.shapes(codes[:PIECE], at + PIECE >= len(raw))
         for order in (1, 2, 3):
-            if len(shapes) >= order:
-                hashed = np.full(len(shapes) - order + 1, np.uint32(order * 0x3C6EF372 & 0xFFFFFFFF))
+            seen = np.concatenate([before[max(0, len(before) - order + 1) :], shapes]) if order > 1 else shapes
+            if len(seen) >= order:
+                hashed = np.full(len(seen) - order + 1, np.uint32(order * 0x3C6EF372 & 0xFFFFFFFF))
                 for k in range(order):
-                    hashed = (hashed ^ shapes[k : k + len(hashed)]) * np.uint32(0x5BD1E995 + 2 * k)
+                    hashed = (hashed ^ seen[k : k + len(hashed)]) * np.uint32(0x5BD1E995 + 2 * k)
                 flags[_mix(hashed, bits)] = True
     return np.flatnonzero(flags).astype(np.int32)
 
 
-def _shapes(codes: np.ndarray) -> np.ndarray:
-    space = codes <= 32
-    first = ~space
-    first[1:] &= space[:-1]
-    starts = np.flatnonzero(first)
-    if not len(starts):
-        return np.zeros(0, np.uint32)
-    last = ~space
-    last[:-1] &= space[1:]
-    ends = np.flatnonzero(last)
-    seat = np.arange(len(codes)) - np.repeat(np.append(0, starts), np.diff(np.concatenate([[0], starts, [len(codes)]])))
-    words = np.add.reduceat(np.where(space, np.uint64(0), (codes.astype(np.uint64) + np.uint64(1)) * _POWERS[np.minimum(seat, 63)]), starts)
-    upper = (codes >= 65) & (codes <= 90)
-    letters = upper | ((codes >= 97) & (codes <= 122)) | (codes >= 128)
-    ups, all_letters = np.add.reduceat(upper.astype(np.int32), starts), np.add.reduceat(letters.astype(np.int32), starts)
-    case = np.where(ups == 0, 0, np.where(ups == all_letters, 2, 1)) + np.where(all_letters == 0, 4, 0)
-    tail = np.where(letters[ends], 0, codes[ends])
-    same = np.zeros(len(starts), np.int64)
-    same[1:] = words[1:] == words[:-1]
-    run = np.zeros(len(starts), np.int64)
-    for _ in range(4):
-        run[1:] = np.where(same[1:] > 0, np.minimum(run[:-1] + 1, 4), 0)
-    return (case * 5 + run + 64 * tail).astype(np.uint32)
+class _Words:
+    """The word shapes of a text that comes piece by piece."""
+
+    def __init__(self) -> None:
+        self.open: tuple[int, np.uint64, int, int] | None = None  # of a word that goes on: bytes, hash, capitals, letters so far
+        self.last_byte = 32
+        self.said: tuple[np.uint64, int] | None = None  # hash of the last word, and how often it was said before
+        self.tail = np.zeros(0, np.uint32)
+
+    def shapes(self, codes: np.ndarray, ends: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The last two shapes before this piece, and those of the words that end in it."""
+        before = self.tail
+        space = codes <= 32
+        first = ~space
+        first[1:] &= space[:-1]
+        goes_on = self.open is not None and not space[0]
+        closing = self.open is not None and not goes_on  # it ended with the piece before
+        starts = np.flatnonzero(first)
+        words, ups, letters, tails = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+        size = self.open[0] if goes_on else 0
+        length = len(codes)
+        if len(starts):
+            last = ~space
+            last[:-1] &= space[1:]
+            stops = np.flatnonzero(last)
+            seat = np.arange(length) - np.repeat(np.append(0, starts), np.diff(np.concatenate([[0], starts, [length]])))
+            if goes_on:
+                seat[: stops[0] + 1] += size
+            words = np.add.reduceat(np.where(space, np.uint64(0), (codes.astype(np.uint64) + np.uint64(1)) * _POWERS[np.minimum(seat, 63)]), starts)
+            upper = (codes >= 65) & (codes <= 90)
+            letter = upper | ((codes >= 97) & (codes <= 122)) | (codes >= 128)
+            ups, letters = np.add.reduceat(upper.astype(np.int64), starts), np.add.reduceat(letter.astype(np.int64), starts)
+            tails = np.where(letter[stops], 0, codes[stops]).astype(np.uint32)
+            if goes_on:
+                words[:1] += self.open[1]
+                ups[0] += self.open[2]
+                letters[0] += self.open[3]
+        if closing:
+            _, hashed, up, all_letters = self.open
+            byte = self.last_byte
+            is_letter = 65 <= byte <= 90 or 97 <= byte <= 122 or byte >= 128
+            words, ups, letters = np.concatenate([[hashed], words]).astype(np.uint64), np.concatenate([[up], ups]), np.concatenate([[all_letters], letters])
+            tails = np.concatenate([[0 if is_letter else byte], tails]).astype(np.uint32)
+        self.open = None
+        if not ends and len(codes) and not space[-1]:
+            since = int(starts[-1])
+            self.open = (length - since + (size if goes_on and len(starts) == 1 else 0), words[-1], int(ups[-1]), int(letters[-1]))
+            words, ups, letters, tails = words[:-1], ups[:-1], letters[:-1], tails[:-1]
+        self.last_byte = int(codes[-1]) if length else self.last_byte
+        if not len(words):
+            return before, np.zeros(0, np.uint32)
+        case = np.where(ups == 0, 0, np.where(ups == letters, 2, 1)) + np.where(letters == 0, 4, 0)
+        same = np.zeros(len(words), np.int64)
+        same[1:] = words[1:] == words[:-1]
+        run = np.zeros(len(words), np.int64)
+        if self.said is not None and words[0] == self.said[0]:
+            run[0] = min(self.said[1] + 1, 4)
+        for _ in range(4):
+            run[1:] = np.where(same[1:] > 0, np.minimum(run[:-1] + 1, 4), 0)
+        self.said = (words[-1], int(run[-1]))
+        found = (case * 5 + run + 64 * tails).astype(np.uint32)
+        self.tail = np.concatenate([before, found])[-2:]
+        return before, found
 
 
 def _support_vectors(rows: list[np.ndarray], ratio: np.ndarray, signs: np.ndarray, cost: np.ndarray, epochs: int, seed: int) -> np.ndarray:
@@ -143,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     if len(sizes) < 2:
         return QualityModel(np.zeros(0), np.zeros(0), 0.0, 0.0, float(next(iter(sizes), 1)))
     share = {y: min(1.0, sample_rows / 2 / n) for y, n in sizes.items()}
-    chosen = marks.where(" or ".join(f"y = {y} and pmod(xxhash64({seed}, key), 1000000) < {int(1e6 * s)}" for y, s in share.items()))
+    chosen = marks.where(reduce(or_, ((F.col("y") == y) & sample_share(F.col("key"), s, seed) for y, s in share.items())))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,5 +1,7 @@
 """Language identification, quality, and what both do with odd rows."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -38,7 +40,7 @@ def test_language_scores_are_those_of_counts_one_by_one(spark):
     model = languages.fit(spark.createDataFrame([(1, "aab b", "x", None), (2, "ccd", "y", None)], DOC), bits=8)
     text = "ab c"
     sums = model.prior.copy()
-    for buckets, _ in languages.gram_buckets([text], model.orders, model.bits):
+    for buckets, _ in languages.gram_buckets([text], [0], model.orders, model.bits):
         for b in buckets:
             sums += model.weights[:, b]
     assert np.allclose(languages.log_odds(model, [text])[0], sums)
@@ -71,12 +73,42 @@ def test_quality_odd_rows(spark):
     assert quality.fit(docs, labels.where("quality = 0")).constant == 0.0
 
 
-def test_long_text_has_the_indicators_of_its_pieces(monkeypatch):
-    text = "Some words, again and again and 12 more. " * 200
-    whole = quality.indicators(text, 14)
-    monkeypatch.setattr(quality, "PIECE", 1000)
-    parts = quality.indicators(text, 14)
-    assert len(np.setdiff1d(whole, parts)) <= 12 and len(np.setdiff1d(parts, whole)) <= 24  # word shapes at the cuts may differ
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_long_text_has_the_indicators_of_its_pieces(monkeypatch, size):
+    rng = random.Random(size)
+    texts = ["Some words, again and again and 12 more. " * 200, ""] + ["".join(rng.choice(["a", "B", "Buy ", "buy ", " ", "\n", "é", "1", "!", "NOW NOW "]) for _ in range(60)) for _ in range(100)]
+    whole = [quality.indicators(t, 14).tolist() for t in texts]
+    monkeypatch.setattr(quality, "PIECE", size)
+    assert [quality.indicators(t, 14).tolist() for t in texts] == whole
+
+
+@pytest.mark.parametrize("size", [2, 3, 7, 20])
+def test_long_text_has_the_language_scores_of_its_pieces(monkeypatch, size):
+    rng = random.Random(size)
+    weights = np.random.default_rng(1).normal(size=(2, 4097)).astype(np.float32)
+    weights[:, -1] = 0
+    model = languages.LanguageModel(("a", "b"), np.zeros(2), weights, (1, 2, 3), 12)
+    texts = ["".join(rng.choice(["a", "B", "c", " ", "--", "é", "1", "ß"]) for _ in range(rng.randrange(60))) for _ in range(100)]
+    whole = languages.log_odds(model, texts)
+    monkeypatch.setattr(languages, "PIECE", size)
+    assert np.allclose(languages.log_odds(model, texts), whole, atol=1e-4)
+
+
+def test_dual_descent_finds_the_least_hinge_loss():
+    """Against plain subgradient descent on the same loss."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 30, 6)).astype(np.int32) for _ in range(60)]
+    signs, ratio = np.where(rng.random(60) < 0.5, 1.0, -1.0), rng.normal(size=30)
+    x = np.zeros((60, 30))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.sqrt(np.square(ratio[r]).sum())
+    loss = lambda w: 0.5 * w @ w + np.maximum(0, 1 - signs * (x @ w)).sum()
+    best, w = np.inf, np.zeros(30)
+    for step in range(20_000):
+        short = signs * (x @ w) < 1
+        w = w - (w - (signs[short, None] * x[short]).sum(axis=0)) / (1 + step)
+        best = min(best, loss(w))
+    assert loss(quality._support_vectors(rows, ratio, signs, np.ones(60), 500, 1)) <= best * 1.005
 
 
 def test_support_vectors_separate():
