@@ -90,19 +90,19 @@ FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.do
 
 OP2_SQL = """
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
-o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, md5(text)) - 1 AS at,
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, md5(text)) - 1 AS seat,
              replace(replace(text, '<|im_start|>', '<\\|im_start|>'), '<|im_end|>', '<\\|im_end|>') AS said,
              translate(replace(replace(role, '<|im_start|>', '<\\|im_start|>'), '<|im_end|>', '<\\|im_end|>'), chr(10) || chr(13), '  ') AS name FROM t),
 w AS (SELECT DISTINCT conv_id AS of, role AS perspective FROM t WHERE role NOT IN ('', 'system')),
-y AS (SELECT conv_id AS of_system, '<|im_start|>system' || chr(10) || min_by(said, at) || '<|im_end|>' || chr(10) AS system FROM o WHERE role = 'system' GROUP BY conv_id),
-r AS (SELECT conv_id, perspective, CAST(floor(at / 256) AS BIGINT) AS part, at, said, role = perspective AS own, CASE WHEN at >= 256 THEN coalesce(system, '') ELSE '' END AS context,
+y AS (SELECT conv_id AS of_system, '<|im_start|>system' || chr(10) || min_by(said, seat) || '<|im_end|>' || chr(10) AS system FROM o WHERE role = 'system' GROUP BY conv_id),
+r AS (SELECT conv_id, perspective, CAST(floor(seat / 256) AS BIGINT) AS part, seat, said, role = perspective AS own, CASE WHEN seat >= 256 THEN coalesce(system, '') ELSE '' END AS context,
              '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant' WHEN role = '' THEN 'user'
                                ELSE 'user name=' || name END || chr(10) AS head
       FROM o JOIN w ON o.conv_id IS NOT DISTINCT FROM w.of LEFT JOIN y ON o.conv_id IS NOT DISTINCT FROM y.of_system),
-s AS (SELECT *, length(context) + sum(length(head) + length(said) + 11) OVER (PARTITION BY conv_id, perspective, part ORDER BY at ROWS UNBOUNDED PRECEDING) AS stop FROM r)
+s AS (SELECT *, length(context) + sum(length(head) + length(said) + 11) OVER (PARTITION BY conv_id, perspective, part ORDER BY seat ROWS UNBOUNDED PRECEDING) AS stop FROM r)
 SELECT conv_id, perspective, part, count(*) AS n_turns, CAST(length(max(context)) AS BIGINT) AS context,
-       max(context) || string_agg(head || said || '<|im_end|>' || chr(10), '' ORDER BY at) AS text,
-       coalesce(string_agg(CASE WHEN own THEN CAST(CAST(stop - 11 - length(said) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(stop - 1 AS BIGINT) AS VARCHAR) END, ',' ORDER BY at), '') AS targets
+       max(context) || string_agg(head || said || '<|im_end|>' || chr(10), '' ORDER BY seat) AS text,
+       coalesce(string_agg(CASE WHEN own THEN CAST(CAST(stop - 11 - length(said) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(stop - 1 AS BIGINT) AS VARCHAR) END, ',' ORDER BY seat), '') AS targets
 FROM s GROUP BY conv_id, perspective, part
 """
 
