@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from depweave.catalog.sql import facts
 from depweave.functions import ids
 from depweave.operators import resolve as S
+from depweave.plans.staging import stage
 from depweave.sources import cpp as C
 from depweave.sources import projects as J
 from depweave.sources.workspace import Workspace
@@ -48,6 +49,15 @@ def sources(w: Workspace) -> DataFrame:
     return body.select(F.concat(F.lit("s"), "s").alias("document_id"), F.concat(head, "body", F.lit("\n};\n")).alias("text"))
 
 
+def stripped_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.stripped(sources(Workspace(spark, sf_dir))).select("document_id", "code")
+
+
+def method_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the bodies of methods in the derived sources."""
+    return C.facts(sources(Workspace(spark, sf_dir)), "ranges")
+
+
 def cpp_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.facts(sources(Workspace(spark, sf_dir)), "declarations")
 
@@ -58,10 +68,10 @@ def include_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cpp_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols that methods of the derived sources refer to: tokens, put in the range around them, resolved by scope."""
-    docs = sources(Workspace(spark, sf_dir))
-    declared = C.facts(docs, "declarations").withColumn("key", F.concat_ws("|", "document_id", "qualified_name"))
-    refs = C.facts(docs, "references").withColumn("ref_id", F.concat_ws(":", "document_id", "line", "token"))
-    ranges = C.facts(docs, "ranges").withColumnRenamed("qualified_name", "symbol_id")
+    code = stage(C.lines(sources(Workspace(spark, sf_dir))), "lines")
+    declared = C.declarations(code, "document_id").withColumn("key", F.concat_ws("|", "document_id", "qualified_name"))
+    refs = C.references(code, "document_id").withColumn("ref_id", F.concat_ws(":", "document_id", "line", "token"))
+    ranges = C.ranges(code, "document_id").withColumnRenamed("qualified_name", "symbol_id")
     inside = S.enclosing_ranges(refs.select("ref_id", "document_id", "line").distinct(), ranges)
     named = refs.select("ref_id", "token", "reference_kind").distinct().join(inside, "ref_id").select(
         "ref_id", "token", F.col("symbol_id").alias("scope"), F.col("document_id").alias("ref_document"), F.col("line").alias("ref_line"), F.concat_ws("|", "document_id", "symbol_id").alias("ref_key"), "reference_kind",
@@ -100,12 +110,32 @@ def import_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    line_snippets, page_links, reference_tokens, strip_comments, cpp_declarations, include_directives, cpp_references, native_libraries, package_refs, msbuild_conditions, import_closure,
+    line_snippets, page_links, reference_tokens, strip_comments, stripped_sources, method_ranges, cpp_declarations, include_directives, cpp_references, native_libraries, package_refs, msbuild_conditions, import_closure,
 )}
 
 _TRIM = "trim(raw, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')"
 
+#: The derived sources in SQL: the methods of each with their place, and the one after.
+_METHODS = """
+WITH p AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS k FROM lineitem),
+m AS (SELECT 's' || s AS document_id, s, k, row_number() OVER (PARTITION BY s ORDER BY k) AS i, lead(k) OVER (PARTITION BY s ORDER BY k) AS after FROM p),
+h AS (SELECT DISTINCT document_id, s FROM m)"""
+
 ORACLES = {
+    "stripped_sources": _METHODS + """,
+        b AS (SELECT document_id, string_agg('  int m' || k || '(int a) {' || chr(10) || CASE WHEN after IS NULL THEN '     auto x = new S(2);' ELSE '    a = m' || after || '(1) + 1; ' END || chr(10) || '  }', chr(10) ORDER BY k) AS body FROM m GROUP BY document_id)
+        SELECT document_id, '#include ' || repeat(' ', 8) || chr(10) || '#include <vector>' || chr(10) || '#define S' || s || ' 1' || chr(10) || 'h = LoadLibraryA(' || repeat(' ', 7 + length(CAST(s AS VARCHAR))) || ');' || chr(10)
+               || 'GetProcAddress(h, ' || repeat(' ', 5) || ');' || chr(10) || 'class S : public Base' || chr(10) || '{' || chr(10) || body || chr(10) || '};' || chr(10) AS code FROM h JOIN b USING (document_id)""",
+    "method_ranges": _METHODS + """
+        SELECT document_id, 'S::m' || k AS qualified_name, CAST(5 + 3 * i AS INTEGER) AS start, CAST(7 + 3 * i AS INTEGER) AS end, CAST(i - 1 AS INTEGER) AS idx FROM m""",
+    "cpp_declarations": _METHODS + """
+        SELECT document_id, 'MacroDefinition' AS kind, 'S' || s AS name, 'S' || s AS qualified_name, 3 AS line, false AS is_definition FROM h
+        UNION ALL SELECT document_id, 'FunctionDeclaration', 'GetProcAddress', 'GetProcAddress', 5, false FROM h
+        UNION ALL SELECT document_id, 'ClassDeclaration', 'S', 'S', 6, false FROM h
+        UNION ALL SELECT document_id, 'MethodDeclaration', 'm' || k, 'S::m' || k, CAST(5 + 3 * i AS INTEGER), true FROM m""",
+    "cpp_references": _METHODS + """
+        SELECT document_id || '|S::m' || k AS source, document_id || CASE WHEN after IS NULL THEN '|S' ELSE '|S::m' || after END AS target,
+               CASE WHEN after IS NULL THEN 'creation' ELSE 'call' END AS reference_kind, CAST(1 AS BIGINT) AS reference_count FROM m""",
     "line_snippets": f"""
         SELECT doc_id, line, CASE WHEN length({_TRIM}) > 180 THEN substr({_TRIM}, 1, 177) || '...' ELSE {_TRIM} END AS snippet
         FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents) WHERE {_TRIM} <> ''""",

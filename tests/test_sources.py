@@ -1,3 +1,6 @@
+import random
+import re
+
 from depweave.sources import cpp as C
 from depweave.sources import projects as J
 from depweave.sources.store import KEEP, SnapshotStore, hydrated
@@ -18,22 +21,71 @@ class Foo : public Bar {
 """
 
 
-def test_strip():
-    assert C.strip("int value = 1; // inline comment") == "int value = 1; "
-    kept = C.strip('s = "http://example"; // gone\nint value = 3; /* block */ int next = 4;', keep_strings=True)
+def test_strip(spark):
+    def strip(text, keep_strings=False):
+        return C.stripped(spark.createDataFrame([(text,)], "text string"), keep_strings=keep_strings).first()["code"]
+
+    assert strip("int value = 1; // inline comment") == "int value = 1; "
+    kept = strip('s = "http://example"; // gone\nint value = 3; /* block */ int next = 4;', keep_strings=True)
     assert kept == 's = "http://example"; \nint value = 3;  int next = 4;'
-    assert C.strip('a = "x\\"y"; b') == 'a =       ; b' and C.strip("/* a\nb */c") == "\nc"
+    assert strip('a = "x\\"y"; b') == "a =       ; b" and strip("/* a\nb */c") == "\nc" and strip(None) is None and strip("") == ""
+    assert strip(r"""a = '\'' + "\\"; // x""") == "a =      +     ; " and strip('open "to the end\nx / y') == "open            \nx / y"
+    assert strip('"a\\\nb" c') == "       c" and strip('"' + "\\x00" * 50_000 + '";') == " " * 200_002 + ";"
+
+
+def test_strip_against_a_scanner(spark):
+    lexeme = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?""", re.S)
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["/", "*", '"x\\"y"', '"a\n', r"'\''", r'"\\\\"', '"//"', "a", " ", "\n", "//", "/*", "*/", "é"]) for _ in range(rng.randrange(30))) for _ in range(800)]
+    for keep in (False, True):
+        blank = lambda m: "" if m[0].startswith("//") else re.sub("[^\n]", "", m[0]) if m[0].startswith("/*") else m[0] if keep else " " * len(m[0])  # noqa: E731, B023
+        got = {r["text"]: r["code"] for r in C.stripped(spark.createDataFrame([(t,) for t in texts], "text string"), keep_strings=keep).collect()}
+        for t in texts:
+            assert got[t] == lexeme.sub(blank, t), (t, keep)
 
 
 def test_cpp_facts(spark):
     docs = spark.createDataFrame([("d", SOURCE), ("e", None), ("f", "")], "document_id string, text string")
     assert rows(C.facts(docs, "includes"), "document_id", "target", "quoted") == [("d", "a.h", True), ("d", "vector", False)]
     found = {(r["kind"], r["qualified_name"], r["is_definition"]) for r in C.facts(docs, "declarations").collect()}
-    assert found == {("MacroDefinition", "MAX", True), ("ClassDeclaration", "N::Foo", True), ("ConstructorDeclaration", "N::Foo::Foo", False), ("MethodDeclaration", "N::Foo::run", True)}
+    assert found == {("MacroDefinition", "MAX", False), ("ClassDeclaration", "N::Foo", False), ("ConstructorDeclaration", "N::Foo::Foo", False), ("MethodDeclaration", "N::Foo::run", True)}
     refs = {(r["token"], r["reference_kind"]) for r in C.facts(docs, "references").collect()}
     assert {("Bar", "inheritance"), ("Foo", "creation"), ("helper", "call")} <= refs and ("run", "call") not in refs and "new" not in {t for t, _ in refs}
-    assert ("N::Foo::run", 7, 9) in {(r["qualified_name"], r["start"], r["end"]) for r in C.facts(docs, "ranges").collect()}
-    assert C.native_of('h = LoadLibraryW(L"k.dll"); GetProcAddress(h, "f"); // LoadLibrary("x.dll")') == [{"line": 1, "api": "LoadLibrary", "handle": "h", "name": "k.dll"}, {"line": 1, "api": "GetProcAddress", "handle": "h", "name": "f"}]
+    assert rows(C.facts(docs, "ranges"), "qualified_name", "start", "end") == [("N::Foo::run", 7, 9)]
+    calls = spark.createDataFrame([("d", 'h = LoadLibraryW(L"k.dll"); GetProcAddress(h, "f"); // LoadLibrary("x.dll")')], "document_id string, text string")
+    assert rows(C.facts(calls, "native")) == [("d", 1, "GetProcAddress", "h", "f"), ("d", 1, "LoadLibrary", "h", "k.dll")]
+
+
+def test_cpp_scopes_and_bodies(spark):
+    text = """namespace A::B {
+struct T;
+enum class Color { red };
+struct T
+  : public Base
+{
+  T();
+  int one() { return 1; }
+  void two() {
+    if (x) { y(); } else {
+      z(); }
+  } };
+void T::three() {
+} }
+void four() {
+  never(
+typedef int gone(int);
+using Alias = A::B::T;
+"""
+    docs = spark.createDataFrame([("d", text), ("long", "#include \"" + "x" * 300 + ".h\"")], "document_id string, text string")
+    found = {(r["kind"], r["qualified_name"], r["line"], r["is_definition"]) for r in C.facts(docs, "declarations").collect()}
+    assert found == {
+        ("StructDeclaration", "A::B::T", 2, False), ("EnumDeclaration", "A::B::Color", 3, False), ("StructDeclaration", "A::B::T", 4, False), ("ConstructorDeclaration", "A::B::T::T", 7, False),
+        ("MethodDeclaration", "A::B::T::two", 9, True), ("MethodDeclaration", "A::B::T::three", 13, True), ("FunctionDeclaration", "four", 15, True), ("TypeAliasDeclaration", "Alias", 18, False),
+    }
+    assert rows(C.facts(docs, "ranges"), "qualified_name", "start", "end", "idx") == [("A::B::T::three", 13, 14, 1), ("A::B::T::two", 9, 12, 0), ("four", 15, 15, 2)]
+    assert {("Base", "inheritance"), ("x", "reference"), ("y", "call"), ("never", "call")} <= {(r["token"], r["reference_kind"]) for r in C.facts(docs, "references").collect()}
+    snippet = C.facts(docs, "includes").first()["snippet"]
+    assert len(snippet) == 180 and snippet.endswith("x...")
 
 
 def test_conditions():
