@@ -12,6 +12,7 @@ from depweave.functions import ids
 from depweave.operators import edges as E
 from depweave.operators import graph as G
 from depweave.operators import payload as P
+from depweave.plans.staging import stage
 from depweave.sources.workspace import Workspace
 
 
@@ -33,14 +34,14 @@ def edge_first_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Workspace(spark, sf_dir)
     odd = F.substring("source_symbol_key", 2, 30).cast("long") % 2
-    one, two = (E.document_edges(w.observations.where(odd == k), w.declarations) for k in (1, 0))
-    return E.merge_edges(one, two)
+    return E.document_edges(w.observations, w.declarations, origin=1 - odd)
 
 
 def dominant_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Workspace(spark, sf_dir)
     places = w.declarations.select(F.col("symbol_key").alias("target_symbol_key"), F.col("document_id").alias("target")).distinct()
-    return E.dominant_kind(w.observations.withColumnRenamed("source_document_id", "source").join(places, "target_symbol_key"))
+    folded = w.observations.groupBy(F.col("source_document_id").alias("source"), "target_symbol_key", "reference_kind").agg(F.count("*").alias("n"))
+    return E.dominant_kind(folded.join(places, "target_symbol_key").select("source", "target", "reference_kind", "n"))
 
 
 def _native(w: Workspace) -> DataFrame:
@@ -78,9 +79,9 @@ def payload_edges(w: Workspace) -> DataFrame:
         P.edge_rows(w.packages, pk, ids.node_id("package", "name"), "project-package"),
         P.edge_rows(w.assemblies, pk, ids.node_id("assembly", "name"), "project-assembly"),
         P.edge_rows(w.project_references, ids.node_id("project", "source"), ids.node_id("project", "target"), "project-reference"),
-        P.edge_rows(docs, F.col("source"), F.col("target"), "document-reference", F.col("reference_count")),
-        P.edge_rows(syms, F.col("source"), F.col("target"), ids.symbol_edge_kind("reference_kind"), F.col("reference_count"), "reference_kind", "confidence"),
-    )
+        unique=[P.edge_rows(docs, F.col("source"), F.col("target"), "document-reference", F.col("reference_count")),
+        P.edge_rows(syms, F.col("source"), F.col("target"), ids.symbol_edge_kind("reference_kind"), F.col("reference_count"), "reference_kind", "confidence")],
+    )
 
 
 def project_members(w: Workspace) -> DataFrame:
@@ -110,9 +111,10 @@ def payload_symbol_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Workspace(spark, sf_dir)
-    refs = w.project_references
-    cycles = G.cycles(refs, G.components_of_cycles(refs), "project")
-    docs, syms = E.document_edges(w.observations, w.declarations), E.symbol_edges(w.observations, w.declarations)
+    docs, syms = E.document_edges(w.observations, w.declarations).select("source", "target"), E.symbol_edges(w.observations, w.declarations).select("source", "target")
+    docs, syms = stage(docs, "documents"), stage(syms, "symbols")
+    found = [G.cycles(edges, G.components_of_cycles(edges), kind) for kind, edges in (("project", w.project_references), ("document", docs), ("symbol", syms))]
+    cycles = found[0].unionByName(found[1]).unionByName(found[2])
     return P.stats(w.projects, w.documents, w.symbols, E.native_rollup(_native(w)), docs, syms, cycles, payload_edges(w))
 
 
@@ -198,7 +200,11 @@ ORACLES = {
         SELECT (SELECT count(*) FROM projects) AS project_count, (SELECT count(*) FROM docs) AS document_count, (SELECT count(*) FROM syms) AS symbol_count,
                (SELECT count(DISTINCT (lower(p_brand), p_size % 3 = 0)) FROM part) AS native_dependency_count, (SELECT count(*) FROM doc_edges) AS document_dependency_count,
                (SELECT count(*) FROM sym_edges) AS symbol_dependency_count, (SELECT count(DISTINCT component) FROM members) AS project_cycle_count,
-               CAST(0 AS BIGINT) AS document_cycle_count, CAST(0 AS BIGINT) AS symbol_cycle_count, (SELECT count(*) FROM (SELECT DISTINCT source, target, kind, rk, cf FROM kind_edges)) AS edge_count""", GRAPH, CYCLES, recursive=True),
+               (SELECT count(DISTINCT c) FROM (SELECT min(b) AS c FROM doc_reach WHERE (b, a) IN (SELECT a, b FROM doc_reach) GROUP BY a)) AS document_cycle_count,
+               (SELECT count(DISTINCT c) FROM (SELECT min(b) AS c FROM sym_reach WHERE (b, a) IN (SELECT a, b FROM sym_reach) GROUP BY a)) AS symbol_cycle_count,
+               (SELECT count(*) FROM (SELECT DISTINCT source, target, kind, rk, cf FROM kind_edges)) AS edge_count""", GRAPH, CYCLES, *(f"""
+        {k}_core AS (SELECT DISTINCT source AS a, target AS b FROM {k}_edges WHERE source IN (SELECT target FROM {k}_edges) AND target IN (SELECT source FROM {k}_edges)),
+        {k}_reach AS (SELECT a, b FROM {k}_core UNION SELECT r.a, e.b FROM {k}_reach r JOIN {k}_core e ON r.b = e.a)""" for k in ("doc", "sym")), recursive=True),
     "phantom_projects": facts(f"""
         , given AS (SELECT 'name:' || n_name AS source, 'NAME:' || r_name AS target FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT source, lower(target) FROM refs)
         SELECT g.source, g.target, {node('project', 'coalesce(p.project_key, g.target)')} AS node, p.project_key IS NULL AS is_phantom FROM given g LEFT JOIN projects p ON upper(p.project_key) = upper(g.target)"""),

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from depweave.catalog.edges import payload_edges
 from depweave.catalog.sql import CYCLES, GRAPH, facts, node
 from depweave.functions import ids
 from depweave.operators import components as C
+from depweave.operators import edges as E
 from depweave.operators import graph as G
 from depweave.operators import payload as P
 from depweave.operators import rollup as R
+from depweave.plans.numbering import numbered
 from depweave.plans.staging import stage
 from depweave.sources.workspace import Workspace
 
@@ -128,7 +130,34 @@ def _project_owners(w: Workspace) -> DataFrame:
 
 
 def _project_weights(w: Workspace) -> DataFrame:
-    return R.rolled_up(payload_edges(w), _project_owners(w), R.PROJECT)
+    owners, syms = _project_owners(w), E.symbol_edges(w.observations, w.declarations)
+    edges = P.edge_rows(w.project_references, ids.node_id("project", "source"), ids.node_id("project", "target"), "project-reference")
+    edges = edges.unionByName(P.edge_rows(syms, F.col("source"), F.col("target"), ids.symbol_edge_kind("reference_kind"), F.col("reference_count"), "reference_kind", "confidence"))
+    docs = w.documents.select(F.col("document_id").alias("node"), ids.node_id("project", "project_key").alias("owner"))
+    return R.added(R.rolled_up(edges, owners, R.PROJECT), R.rolled_up_references(w.observations, w.declarations, docs, R.PROJECT))
+
+
+def _supplier_links(w: Workspace) -> DataFrame:
+    """Edges between documents of suppliers: from each supplier of a part to the next one, and from the last to the first."""
+    pairs = w.table("lineitem").select("l_partkey", "l_suppkey").distinct()
+    order = Window.partitionBy("l_partkey").orderBy("l_suppkey")
+    after = F.coalesce(F.lead("l_suppkey").over(order), F.first("l_suppkey").over(order))
+    doc = lambda c: F.concat(F.lit("document:s"), c)
+    return pairs.select(doc(F.col("l_suppkey")).alias("source"), doc(after).alias("target")).where("source <> target").distinct()
+
+
+def document_scc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cycles of documents, over a graph that grows with the tables."""
+    found = stage(G.components_of_cycles(stage(_supplier_links(Workspace(spark, sf_dir)), "links")), "members")
+    least = found.groupBy("component").agg(F.min("node").alias("least"))
+    return found.join(least, "component").select("node", F.col("least").alias("component"))
+
+
+def topological_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects in the order of their layers, and in a layer by label."""
+    w = Workspace(spark, sf_dir)
+    found = numbered(_layers(w), [F.col("layer"), F.lower("label"), F.col("label"), F.col("node")], "place")
+    return found.select("node", F.col("place").cast("long").alias("place"))
 
 
 def project_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +219,7 @@ def layer_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     project_scc, project_cycles, cycle_membership, cycle_edges, components, graph_metrics, layout_choice, performance_mode, dependency_map, impact_nodes, impact_count, seed_expansion, ownership_context,
-    neighbor_placement, placement_clusters, project_rollup, document_rollup, symbol_adjacency, node_importance, in_out_weights, document_importance, relayout, project_layers, flow_bias, layer_order,
+    neighbor_placement, placement_clusters, document_scc, topological_order, project_rollup, document_rollup, symbol_adjacency, node_importance, in_out_weights, document_importance, relayout, project_layers, flow_bias, layer_order,
 )}
 
 _UPPER = f"""
@@ -232,6 +261,12 @@ near AS (SELECT seed, peer, CASE WHEN min(o) <> max(o) THEN 'both' WHEN max(o) T
 
 ORACLES = {
     "project_scc": facts("SELECT node, component FROM members", CYCLES, recursive=True),
+    "document_scc": """
+        WITH RECURSIVE p AS (SELECT DISTINCT l_partkey AS k, l_suppkey AS s FROM lineitem),
+        n AS (SELECT s, coalesce(lead(s) OVER w, first_value(s) OVER w) AS t FROM p WINDOW w AS (PARTITION BY k ORDER BY s)),
+        e AS (SELECT DISTINCT s, t FROM n WHERE s <> t), r AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM r JOIN e ON r.t = e.s)
+        SELECT 'document:s' || x.s AS node, min('document:s' || x.t) AS component FROM r x JOIN r y ON x.s = y.t AND x.t = y.s GROUP BY x.s""",
+    "topological_order": facts("SELECT node, row_number() OVER (ORDER BY layered.layer, lower(label), label, node) AS place FROM layered JOIN lay USING (node)", CYCLES, _GROUPS, recursive=True),
     "project_cycles": facts("""
         SELECT 'project-cycle-' || row_number() OVER (ORDER BY component) AS cycle_id, 'project' AS graph_kind, component AS least, size, edge_count
         FROM (SELECT component, count(*) AS size FROM members GROUP BY component)

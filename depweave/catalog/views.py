@@ -160,7 +160,7 @@ def include_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     includes = w.table("orders").select(k.alias("include_id"), text("p", c % 10).alias("project"), text("/d", c % 40).alias("own_directory"), F.when(k % 11 == 0, F.concat(F.lit("/d1/"), name)).otherwise(name).alias("target"), (k % 2 == 0).alias("quoted"))
     s, p = F.col("s_suppkey"), F.col("p_partkey")
     directories = w.table("supplier").select(text("p", s % 10).alias("project"), text("/d", s % 37).alias("directory"), s.alias("ordinal"))
-    files = w.table("part").where(p % 3 == 0).select(F.concat(text("/d", p % 40), text("/f", p % 50), F.lit(".h")).alias("path"))
+    files = w.table("part").select(F.concat(text("/d", p % 40), text("/f", p % 150), F.lit(".h")).alias("path"))
     return S.first_match(includes, directories, files)
 
 
@@ -260,7 +260,7 @@ ORACLES = {
     "include_first_match": """
         WITH i AS (SELECT o_orderkey AS id, 'p' || (o_custkey % 10) AS project, '/d' || (o_custkey % 40) AS own, 'f' || (o_orderkey % 50) || '.h' AS name, o_orderkey % 2 = 0 AS quoted, o_orderkey % 11 = 0 AS rooted FROM orders),
         d AS (SELECT 'p' || (s_suppkey % 10) AS project, '/d' || (s_suppkey % 37) AS dir, s_suppkey AS o FROM supplier),
-        f AS (SELECT DISTINCT '/d' || (p_partkey % 40) || '/f' || (p_partkey % 50) || '.h' AS path FROM part WHERE p_partkey % 3 = 0),
+        f AS (SELECT DISTINCT '/d' || (p_partkey % 40) || '/f' || (p_partkey % 150) || '.h' AS path FROM part),
         probes AS (SELECT id, '/d1/' || name AS path, -2 AS o FROM i WHERE rooted UNION ALL SELECT id, own || '/' || name, -1 FROM i WHERE NOT rooted AND quoted
                    UNION ALL SELECT id, dir || '/' || name, o FROM i JOIN d USING (project) WHERE NOT rooted)
         SELECT id AS include_id, arg_min(path, o) AS path FROM probes JOIN f USING (path) GROUP BY id""",

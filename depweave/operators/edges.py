@@ -28,11 +28,25 @@ def first_declarations(declarations: DataFrame) -> DataFrame:
     return declarations.groupBy("symbol_key").agg(first.alias("d")).select("symbol_key", "d.symbol_id", "d.document_id")
 
 
-def document_edges(observations: DataFrame, declarations: DataFrame) -> DataFrame:
-    """``source, target, reference_count`` and sample: an observation counts once for each other document that declares its target."""
+def document_edges(observations: DataFrame, declarations: DataFrame, origin: Column | None = None) -> DataFrame:
+    """``source, target, reference_count`` and sample: an observation counts once for each other document that declares its target.
+
+    Observations are folded by document and target first, so a target that very many documents
+    declare is met once by each observing document. ``origin``: a column of observations; samples
+    of the lowest one go before, as if edges of each origin had been merged in that order.
+    """
+    order = [F.lit(0) if origin is None else origin, F.col("ordinal")]
+    keys = [F.col("source_document_id").alias("source"), "target_symbol_key"]
+    folded = observations.withColumn("ordinal", F.struct(order[0].alias("origin"), order[1].alias("at"))).groupBy(*keys).agg(F.count("*").alias("n"), *first_sample(), _first_place().alias("ordinal"))
     places = declarations.select(F.col("symbol_key").alias("target_symbol_key"), F.col("document_id").alias("target")).distinct()
-    pairs = observations.withColumnRenamed("source_document_id", "source").join(places, "target_symbol_key").where("source <> target")
-    return pairs.groupBy(*DOCUMENT_EDGE).agg(F.count("*").alias("reference_count"), *first_sample())
+    pairs = folded.join(places, "target_symbol_key").where("source <> target").withColumnsRenamed({"sample_file": "file", "sample_line": "line", "sample_snippet": "snippet"})
+    return pairs.groupBy(*DOCUMENT_EDGE).agg(F.sum("n").alias("reference_count"), *first_sample())
+
+
+def _first_place() -> Column:
+    """The ordinal of the row that gives the first sample."""
+    some = F.coalesce(blank_to_null(F.col("file")), F.when(F.col("line") > 0, F.col("line")).cast("string"), blank_to_null(F.col("snippet"))).isNotNull()
+    return F.min(F.when(some, F.col("ordinal")))
 
 
 def symbol_edges(observations: DataFrame, declarations: DataFrame) -> DataFrame:
@@ -73,8 +87,9 @@ def include_edges(includes: DataFrame) -> DataFrame:
 
 
 def dominant_kind(kinds: DataFrame, keys: tuple[str, ...] = DOCUMENT_EDGE, kind: str = "reference_kind") -> DataFrame:
-    """For each pair the most frequent kind, ties by the kind that sorts first, and the count of all kinds."""
-    counts = kinds.groupBy(*keys, kind).agg(F.count("*").alias("n"))
+    """For each pair the most frequent kind, ties by the kind that sorts first, and the count of all kinds. A column ``n`` of kinds, if any, is what a row counts for."""
+    # Dealt by pair once, for both aggregates.
+    counts = kinds.repartition(*keys).groupBy(*keys, kind).agg(F.sum("n").alias("n") if "n" in kinds.columns else F.count("*").alias("n"))
     best = F.min_by(F.col(kind), F.struct((-F.col("n")).alias("n"), ci(kind).alias("ci"), F.col(kind).alias("raw")))
     return counts.groupBy(*keys).agg(best.alias(kind), F.sum("n").alias("reference_count"))
 

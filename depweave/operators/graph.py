@@ -16,6 +16,8 @@ DEPENDENCY_KINDS = (
     "document-reference", "project-assembly", "project-dll", "project-package", "project-reference",
     "symbol-call", "symbol-creation", "symbol-implementation", "symbol-inheritance", "symbol-reference",
 )
+#: Members of cycles up to which they are broadcast to the edges.
+BROADCAST_MEMBERS = 500_000
 #: Kinds from the most telling one on; others come last.
 KIND_RANKS = (
     ("symbol-call", 0), ("symbol-inheritance", 1), ("symbol-implementation", 1), ("document-reference", 2), ("project-reference", 3),
@@ -117,14 +119,15 @@ def cycles(edges: DataFrame, members: DataFrame, graph_kind: str) -> DataFrame:
 
 
 def flag_cycles(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """Edges with ``is_cycle_edge``: whether their ends are in one cycle."""
-    m = members.select("node", "component").distinct()
-    both = (
-        edges.select("source", "target").distinct()
-        .join(m.select(F.col("node").alias("source"), "component"), "source").join(m.select(F.col("node").alias("target"), "component"), ["target", "component"])
-        .select("source", "target").distinct().withColumn("is_cycle_edge", F.lit(True))
-    )
-    return edges.join(both, ["source", "target"], "left").withColumn("is_cycle_edge", F.coalesce("is_cycle_edge", F.lit(False)))
+    """Edges with ``is_cycle_edge``: whether their ends are in one cycle. A node is in one component at most.
+
+    Members are staged and counted: up to BROADCAST_MEMBERS they are broadcast, so the edges stay where they are.
+    """
+    m = stage(members.select("node", "component").distinct(), "members")
+    m = F.broadcast(m) if m.count() <= BROADCAST_MEMBERS else m
+    of = lambda end, name: m.select(F.col("node").alias(end), F.col("component").alias(name))
+    found = edges.join(of("source", "_c1"), "source", "left").join(of("target", "_c2"), "target", "left")
+    return found.select(*edges.columns, F.coalesce(F.col("_c1") == F.col("_c2"), F.lit(False)).alias("is_cycle_edge"))
 
 
 def steps(edges: DataFrame, direction: str) -> DataFrame:

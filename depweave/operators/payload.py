@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depweave.functions.ids import edge_id, node_id
 from depweave.operators.edges import first_by
 from depweave.plans.beside import beside
+from depweave.plans.staging import stage
 
+#: Node ids up to which they are broadcast to the edges (some 50 MB).
+BROADCAST_NODES = 500_000
 EDGE_IDENTITY = ["source", "target", "kind", "reference_kind", "confidence"]
 
 
@@ -36,18 +41,24 @@ def edge_rows(rows: DataFrame, source: Column, target: Column, kind: Column | st
     )
 
 
-def edges(*sources: DataFrame) -> DataFrame:
-    """Edges of all sources, the first of each identity; the weights of the others are dropped, not added."""
-    every = sources[0]
-    for more in sources[1:]:
-        every = every.unionByName(more)
-    first = first_by(every, EDGE_IDENTITY).drop("ordinal")
-    return first.withColumn("id", edge_id("kind", "source", "target", "reference_kind", "confidence"))
+def edges(*sources: DataFrame, unique: list[DataFrame] | None = None) -> DataFrame:
+    """Edges of all sources, the first of each identity; the weights of the others are dropped, not added.
+
+    ``unique``: sources of kinds of their own in which no identity repeats; they are added as they are.
+    """
+    found = first_by(reduce(DataFrame.unionByName, sources), EDGE_IDENTITY).drop("ordinal")
+    for more in unique or []:
+        found = found.unionByName(more.drop("ordinal"))
+    return found.withColumn("id", edge_id("kind", "source", "target", "reference_kind", "confidence"))
 
 
 def between(edges: DataFrame, visible: DataFrame, node: str = "id") -> DataFrame:
-    """Edges of which both ends are among the nodes."""
-    ids = visible.select(F.col(node).alias("_id"))
+    """Edges of which both ends are among the nodes.
+
+    The ids are staged and counted: up to BROADCAST_NODES they are broadcast, so the edges stay where they are.
+    """
+    ids = stage(visible.select(F.col(node).alias("_id")).distinct(), "visible")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_NODES else ids
     return edges.join(ids, F.col("source") == F.col("_id"), "left_semi").join(ids, F.col("target") == F.col("_id"), "left_semi")
 
 

@@ -5,6 +5,8 @@ Weights are decimals, so that sums do not depend on their order.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,26 @@ def rolled_up(edges: DataFrame, owners: DataFrame, table: dict[str, str]) -> Dat
     return joined.groupBy("a", "b").agg(F.sum(F.col("weight") * F.col("c")).alias("weight"))
 
 
+def rolled_up_references(observations: DataFrame, declarations: DataFrame, owners: DataFrame, table: dict[str, str]) -> DataFrame:
+    """``a, b, weight``: what document edges add up to between different owners, without making the edges.
+
+    Both sides are counted by target and owner before they meet, so a pair of documents is never a
+    row. Edges of a document to itself have one owner and so count nowhere.
+    """
+    own = lambda doc, name: owners.select(F.col("node").alias(doc), F.col("owner").alias(name))
+    said = observations.groupBy("source_document_id", "target_symbol_key").agg(F.count("*").alias("n")).join(own("source_document_id", "a"), "source_document_id")
+    said = said.groupBy("a", "target_symbol_key").agg(F.sum("n").alias("n"))
+    places = declarations.select(F.col("symbol_key").alias("target_symbol_key"), "document_id").distinct().join(own("document_id", "b"), "document_id")
+    places = places.groupBy("b", "target_symbol_key").agg(F.count("*").alias("m"))
+    both = said.join(places, "target_symbol_key").where("a <> b").groupBy("a", "b").agg(F.sum(F.col("n") * F.col("m")).alias("n"))
+    return both.select("a", "b", (F.col("n") * F.lit(table["document-reference"]).cast("decimal(4,1)")).alias("weight"))
+
+
+def added(*weights: DataFrame) -> DataFrame:
+    """``a, b, weight`` of several roll-ups as one."""
+    return reduce(DataFrame.unionByName, (w.select("a", "b", F.col("weight").cast("decimal(38,1)").alias("weight")) for w in weights)).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+
+
 def symbol_adjacency(edges: DataFrame) -> DataFrame:
     """``a, b, weight`` of references between symbols; a symbol's references to itself are kept."""
     rows = edges.withColumn("c", coefficient(F.col("kind"), SYMBOL)).where("c is not null and weight > 0")
