@@ -174,6 +174,19 @@ def buckets(firsts: DataFrame, scratch: list[DataFrame] | None = None) -> DataFr
     return rows.join(shared, "band")
 
 
+def first_pairs(members: DataFrame) -> DataFrame:
+    """Pairs ``a < b``: each document with the least of the leaders of its buckets, so at most one pair a document."""
+    return members.where("id != lead").groupBy(F.col("id").alias("b")).agg(F.min("lead").alias("a")).select("a", "b")
+
+
+def leader_pairs(members: DataFrame, part: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of a document and the leader of any of its buckets, where they are not of one class yet."""
+    pairs = members.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    of = lambda end: part.select(F.col("node").alias(end), F.col("component").alias(f"class_{end}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.where(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b")
+
+
 def later_pairs(members: DataFrame, part: DataFrame) -> DataFrame:
     """Pairs ``a < b`` for the buckets whose documents are not yet one class: each document with three more leaders.
 
@@ -193,7 +206,7 @@ def later_pairs(members: DataFrame, part: DataFrame) -> DataFrame:
     return across.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
 
 
-def open_pairs(members: DataFrame, part: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY, scratch: list[DataFrame] | None = None) -> DataFrame:
+def open_pairs(members: DataFrame, part: DataFrame, texts: DataFrame, least: float = SIMILARITY, scratch: list[DataFrame] | None = None) -> DataFrame:
     """Pairs ``a < b`` across classes for the buckets that leaders left with several classes: no link in them is lost.
 
     ``part`` (``node, component``) has the classes so far. Of three documents every pair has the
@@ -214,11 +227,11 @@ def open_pairs(members: DataFrame, part: DataFrame, docs: DataFrame, key: str =
     scratch += [mixed, left]
     hot = left.where("not small").select("id", "class").distinct()
     if hot.limit(1).count():
-        pairs = pairs.unionByName(rare_pairs(docs, stage(hot, "hot"), key, text, least, scratch))
+        pairs = pairs.unionByName(rare_pairs(texts, stage(hot, "hot"), least, scratch))
     return pairs.distinct()
 
 
-def rare_pairs(docs: DataFrame, hot: DataFrame, key: str, text: str, least: float, scratch: list[DataFrame]) -> DataFrame:
+def rare_pairs(texts: DataFrame, hot: DataFrame, least: float, scratch: list[DataFrame]) -> DataFrame:
     """All pairs of ``hot`` (``id, class``) across classes that may be as similar as ``least``, by a prefix filter.
 
     Cells are ordered by how many documents of hot have them. Sets of n and m cells and similarity s
@@ -228,8 +241,7 @@ def rare_pairs(docs: DataFrame, hot: DataFrame, key: str, text: str, least: floa
     similar. Pairs are made between classes first, so that a large class is not paired with itself.
     """
     wanted = hot.select("id")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    texts = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "id", "left_semi")
     run = struct_udf(lambda ts: [[cells(normal_words(t)).view(np.int64) for t in ts]], [("cells", pa.list_(pa.int64()))], "cells array<long>")
     sets = stage(texts.select("id", run("text").alias("r")).select("id", "r.cells"), "cells")
     rows = sets.select("id", F.explode("cells").alias("cell"))
@@ -254,14 +266,15 @@ def rare_pairs(docs: DataFrame, hot: DataFrame, key: str, text: str, least: floa
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def links(docs: DataFrame, pairs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY, scratch: list[DataFrame] | None = None) -> DataFrame:
-    """Those of the pairs whose texts are as similar as ``least`` or more, by their whole sets of shingles."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def member_texts(docs: DataFrame, members: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id, text`` of the documents that share a bucket, staged: read for both ends of every pair, and joined as it is, a leader of very many pairs can be dealt out."""
+    ids = members.select("id").distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    texts = stage(texts, "texts")  # read for both ends; and joined as it is, a leader of very many pairs can be dealt out
-    if scratch is not None:
-        scratch.append(texts)
+    return stage(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
+
+
+def links(texts: DataFrame, pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Those of the pairs whose texts (``id, text``) are as similar as ``least`` or more, by their whole sets of shingles."""
     both = (
         pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         .join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -303,20 +316,23 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     copies = sigs.where("id is not null").select("id", "same").join(groups, "same").where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     scratch: list[DataFrame] = []  # staged tables that are read no more once the classes are known
     members = stage(buckets(firsts.where("size(bands) > 0").select("id", "bands"), scratch), "members")
-    pairs = stage(members.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    found = stage(links(docs, pairs, key, text, least, scratch).unionByName(copies), "links")
+    texts = member_texts(docs, members, key, text)
+    asked = stage(first_pairs(members), "pairs")
+    found = stage(links(texts, asked, least).unionByName(copies), "links")
     part = connected_components(found, "a", "b")
-    more = stage(later_pairs(members, part).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    later = stage(links(docs, more, key, text, least, scratch), "links")
-    if later.limit(1).count():
-        part = connected_components(found.unionByName(later), "a", "b")
-    rest = stage(open_pairs(members, part, docs, key, text, least, scratch).join(pairs.unionByName(more), ["a", "b"], "left_anti"), "pairs")
-    if rest.limit(1).count():
-        last = stage(links(docs, rest, key, text, least, scratch), "links")
-        scratch.append(last)
-        if last.limit(1).count():
-            part = connected_components(found.unionByName(later).unionByName(last), "a", "b")
-    for done in (members, pairs, found, more, later, rest, *scratch):
+    # Each step asks for pairs across the classes so far only; the last one leaves no pair that may be a link.
+    steps = [lambda: leader_pairs(members, part), lambda: later_pairs(members, part), lambda: open_pairs(members, part, texts, least, scratch)]
+    for step in steps:
+        pairs = stage(step().join(asked, ["a", "b"], "left_anti"), "pairs")
+        scratch += [pairs, found]
+        if pairs.limit(1).count():
+            more = stage(links(texts, pairs, least), "links")
+            scratch.append(more)
+            if more.limit(1).count():
+                found = found.unionByName(more)
+                part = connected_components(found, "a", "b")
+        asked = asked.unionByName(pairs)
+    for done in (members, texts, asked, *scratch):
         unstage(done)
     by_id = sigs.join(part.withColumnRenamed("node", "id"), "id", "left").select("id", "same", F.coalesce("component", "id").alias("class_id"))
     named = by_id.where("id is not null").select(F.col("id").alias("doc_id"), "class_id")
