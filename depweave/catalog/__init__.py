@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from depweave.catalog import edges, graphs, texts, views
+from depweave.catalog import edges, graphs, rules, texts, views
 
-QUERIES = edges.QUERIES | graphs.QUERIES | views.QUERIES | texts.QUERIES
-ORACLES = edges.ORACLES | graphs.ORACLES | views.ORACLES | texts.ORACLES
+QUERIES = edges.QUERIES | graphs.QUERIES | views.QUERIES | texts.QUERIES | rules.QUERIES
+ORACLES = edges.ORACLES | graphs.ORACLES | views.ORACLES | texts.ORACLES | rules.ORACLES

@@ -59,5 +59,6 @@ def recents(opened: DataFrame, path: str = "path", at: str = "at", keep: int = 2
 
 
 def in_line_order(symbols: DataFrame, reloaded: bool = False) -> DataFrame:
-    """Symbols by document, line and name; after a reload by name in upper case."""
-    return symbols.orderBy("document_id", "line", F.upper("name") if reloaded else F.col("name"))
+    """Symbols with ``place``: within their document by line and name; after a reload by name in upper case."""
+    order = ["line", F.upper("name") if reloaded else F.col("name"), "symbol_id"]
+    return symbols.withColumn("place", F.row_number().over(Window.partitionBy("document_id").orderBy(*order))).orderBy("document_id", "place")

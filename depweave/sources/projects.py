@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from depweave.functions.columns import ci
 from depweave.functions.ids import ignored_directory
+from depweave.plans.numbering import numbered
 from depweave.plans.staging import stage
 
 #: Endings of C++ files, and pieces of a solution file's line.
-CPP_ENDINGS = ("c", "cc", "cpp", "cxx", "h", "hh", "hpp", "hxx", "inl", "ipp", "ixx", "tpp", "cppm")
+CPP_ENDINGS = ("c", "cc", "cpp", "cxx", "c++", "h", "hh", "hpp", "hxx", "inl", "ipp", "ixx", "tpp")
 SLN_PROJECT = r'^\s*Project\([^)]*\)\s*=\s*"[^"]+",\s*"([^"]+)"\s*,'
 COMMAND_TOKEN = r'"(?:\\.|[^"])*"|[^\s]+'
 
@@ -30,9 +31,9 @@ def files(spark: SparkSession, root: str, endings: tuple[str, ...] = CPP_ENDINGS
 
 def capped_files(rows: DataFrame, cap: int = 250_000) -> DataFrame:
     """The first ``cap`` files in order; with ``over``: whether there were more."""
-    ranked = rows.orderBy(ci("path")).limit(cap + 1)
-    n = ranked.count()
-    return ranked.limit(cap).withColumn("over", F.lit(n > cap))
+    placed = numbered(rows, [ci("path"), "path"], "_n")
+    over = placed.where(F.col("_n") > cap).limit(1).count() > 0
+    return placed.where(F.col("_n") <= cap).drop("_n").withColumn("over", F.lit(over))
 
 
 def sln_projects(lines: DataFrame, line: str = "value", ending: str = ".vcxproj") -> DataFrame:
@@ -207,7 +208,7 @@ def compile_commands(entries: DataFrame) -> DataFrame:
     blank = F.filter(F.col("arguments"), lambda x: F.trim(x) != "")
     tokens = F.when(F.size(blank) > 0, blank).otherwise(command_tokens(F.coalesce("command", F.lit(""))))
     rows = entries.withColumn("tokens", tokens)
-    sources = F.filter("tokens", lambda t: F.rlike(F.lower(t), F.lit(rf"\.({'|'.join(CPP_ENDINGS)})$")))
+    sources = F.filter("tokens", lambda t: F.rlike(F.lower(t), F.lit(rf"\.({'|'.join(map(re.escape, CPP_ENDINGS))})$")))
     rows = rows.withColumn("file", F.coalesce(F.nullif(F.trim("file"), F.lit("")), F.try_element_at(sources, F.lit(-1)))).where("file is not null")
     return rows.groupBy("file").agg(F.max_by("tokens", F.struct(F.size("tokens").alias("n"), (-F.col("ordinal")).alias("o"))).alias("tokens"))
 
