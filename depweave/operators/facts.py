@@ -122,6 +122,8 @@ def discovered(seeds: DataFrame, includes: DataFrame, files: DataFrame, cap: int
         new = front.select(F.col("k").alias("a")).join(links, "a").select(F.col("b").alias("k")).distinct().join(seen.select("k"), "k", "left_anti")
         front = stage(new.withColumn("round", F.lit(n)), "front")
         seen = seen.unionByName(front)
+        if n % 8 == 0:
+            seen = stage(seen, "seen")  # one table again, so that a round does not read one for each round before
     placed = numbered(seen.join(known, "k"), ["round", "k"], "_n")
     over = placed.where(F.col("_n") > cap).limit(1).count() > 0
     unstage(links)
