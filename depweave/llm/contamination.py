@@ -1,4 +1,4 @@
-"""Benchmark decontamination: one automaton over windows of benchmark words, run once over every text."""
+"""Benchmark decontamination: one automaton over windows of benchmark words, run once over every text; a join of windows for a benchmark too large for it."""
 
 from __future__ import annotations
 
@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depweave.llm.common import fresh, struct_udf
+from depweave.plans.staging import stage
 
 WINDOW = 13
 #: A to Z in lower case; every other ASCII character that is no letter or digit is a space; the rest stays.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[^ ]+")
-#: Bytes of benchmark text that one automaton is built over (and that is broadcast); a larger benchmark is cut into several.
+#: Bytes of benchmark text that one automaton is built over (and that is broadcast); the windows of a larger benchmark are joined.
 AUTOMATON_BYTES = 16 << 20
 
 
@@ -95,68 +96,100 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     words and are clean; items without words are ignored; the words of an item without an id count
     as hits, though it can't be listed; an empty benchmark hits nothing.
 
-    The benchmark's size is measured first. Up to AUTOMATON_BYTES it is one broadcast automaton; a
-    larger one is dealt over several by hash of its text, each run over the texts in turn, and the
-    findings are united, so the result does not depend on the size.
+    The benchmark's size is measured first. Up to AUTOMATON_BYTES it is one broadcast automaton, run
+    once over each text; a larger one is joined by the hashes of its windows. Both find the same.
     """
-    spark = docs.sparkSession
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    parts = max(1, -(-total // AUTOMATON_BYTES))
     kept = [c for c in docs.columns if c.lower() != out.lower()]
-    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-    fields = [("n_words", pa.int64()), ("ranges", pa.list_(span)), ("items", pa.list_(pa.string())), ("spans", pa.list_(span))]
-    ddl = "n_words long, ranges array<struct<start long, end long>>, items array<string>, spans array<struct<start long, end long>>"
-    name = fresh(docs, "found")
-    got = docs
-    for part in range(parts):
-        mine = rows.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part) if parts > 1 else rows
-        shared = spark.sparkContext.broadcast(automaton([(r["item"], r["text"]) for r in mine.collect()], window))
-
-        def each(texts: list[str | None], shared=shared) -> list[list]:
-            cols: list[list] = [[], [], [], []]
-            for t in texts:
-                n, ranges, items = hits(t, shared.value)
-                pairs = lambda xs: [{"start": a, "end": b} for a, b in xs]
-                for c, x in zip(cols, (n, pairs(ranges), sorted(items), pairs(char_spans(t or "", ranges) if parts == 1 else [])), strict=True):
-                    c.append(x)
-            return cols
-
-        got = got.withColumn(f"{name}{part}", struct_udf(each, fields, ddl)(F.col(text)))
-    if parts == 1:
-        one = F.col(f"{name}0")
-        n_hit = F.aggregate(one["ranges"], F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-        n_words, items, spans = one["n_words"], one["items"], one["spans"]
-    else:
-        got, n_hit, n_words, items, spans = _united(got, text, name, parts, fields, ddl)
+    found = fresh(docs, "found")
+    got = (_scanned if total <= AUTOMATON_BYTES else _joined)(docs, rows, text, found, window)
+    o = F.col(found)
+    n_hit = F.aggregate(o["ranges"], F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     result = F.struct(
-        n_words.alias("n_words"), n_hit.alias("n_hit"), items.alias("items"), spans.alias("spans"),
-        ((n_hit > 0) & (n_hit * 20 >= n_words)).alias("contaminated"),
+        o["n_words"].alias("n_words"), n_hit.alias("n_hit"), o["items"].alias("items"), o["spans"].alias("spans"),
+        ((n_hit > 0) & (n_hit * 20 >= o["n_words"])).alias("contaminated"),
     )
     return got.select(*kept, result.alias(out))
 
 
-def _united(got: DataFrame, text: str, name: str, parts: int, fields: list, ddl: str) -> tuple:
-    """Unites the findings of several automata: ranges that touch become one, then spans are looked up."""
-    each_part = [F.col(f"{name}{p}") for p in range(parts)]
-    every = F.array_sort(F.concat(*(c["ranges"] for c in each_part)))
-    start = F.array().cast("array<struct<start:bigint,end:bigint>>")
+_SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+_FOUND = [("n_words", pa.int64()), ("ranges", pa.list_(_SPAN)), ("items", pa.list_(pa.string())), ("spans", pa.list_(_SPAN))]
+_FOUND_DDL = "n_words long, ranges array<struct<start long, end long>>, items array<string>, spans array<struct<start long, end long>>"
 
-    def fold(done, x):
-        last = F.try_element_at(done, F.lit(-1))
-        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when(F.size(done) == 0, F.array(x)).when(x["start"] <= F.try_element_at(done, F.lit(-1))["end"], grown).otherwise(F.concat(done, F.array(x)))
 
-    merged = F.aggregate(every, start, fold)
-    n_hit = F.aggregate(merged, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*(c["items"] for c in each_part)))))
+def _row(text: str | None, n_words: int, ranges: list[tuple[int, int]], items: list[str]) -> tuple:
+    pairs = lambda xs: [{"start": a, "end": b} for a, b in xs]
+    return n_words, pairs(ranges), items, pairs(char_spans(text or "", ranges))
 
-    def look_up(rows: list[dict]) -> list[list]:
-        return [[[{"start": a, "end": b} for a, b in char_spans(r["text"] or "", [(x["start"], x["end"]) for x in r["ranges"]])] for r in rows]]
 
-    spans = struct_udf(look_up, fields[3:], "spans array<struct<start long, end long>>")
-    got = got.withColumn(f"{name}m", merged).withColumn(f"{name}s", spans(F.struct(F.col(text).alias("text"), F.col(f"{name}m").alias("ranges"))))
-    return got, F.aggregate(F.col(f"{name}m"), F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]), each_part[0]["n_words"], items, F.col(f"{name}s")["spans"]
+def _scanned(docs: DataFrame, rows: DataFrame, text: str, found: str, window: int) -> DataFrame:
+    """docs with ``found``, by one broadcast automaton."""
+    shared = docs.sparkSession.sparkContext.broadcast(automaton([(r["item"], r["text"]) for r in rows.collect()], window))
+
+    def each(texts: list[str | None]) -> list[list]:
+        cols: list[list] = [[], [], [], []]
+        for t in texts:
+            n, ranges, items = hits(t, shared.value)
+            for c, x in zip(cols, _row(t, n, ranges, sorted(items)), strict=True):
+                c.append(x)
+        return cols
+
+    return docs.withColumn(found, struct_udf(each, _FOUND, _FOUND_DDL)(F.col(text)))
+
+
+def _marks(sizes: list[int] | None, window: int):
+    """A column function: ``at, size, mark`` of the windows of a text, of the given sizes or as those of a benchmark item; mark is a 128-bit hash of the words."""
+
+    def each(texts: list[str | None]) -> list[list]:
+        cols: list[list] = [[], [], []]
+        for t in texts:
+            words = normal_words(t)
+            of = sizes if sizes is not None else [min(window, len(words))] if words else []
+            places = [(i, n) for n in of for i in range(len(words) - n + 1)]
+            cols[0].append([i for i, _ in places])
+            cols[1].append([n for _, n in places])
+            cols[2].append([hashlib.md5(b" ".join(words[i : i + n]), usedforsecurity=False).digest() for i, n in places])
+        return cols
+
+    fields = [("at", pa.list_(pa.int64())), ("size", pa.list_(pa.int64())), ("mark", pa.list_(pa.binary()))]
+    return struct_udf(each, fields, "at array<long>, size array<long>, mark array<binary>")
+
+
+def _joined(docs: DataFrame, rows: DataFrame, text: str, found: str, window: int) -> DataFrame:
+    """docs with ``found``, by joining the windows of texts with those of the benchmark.
+
+    Equal texts are cut once. A window is joined as one row, however many items have it, and only
+    the windows that occur meet their items, so what is gathered for a text is bounded by its words
+    and its items.
+    """
+    zipped = F.explode(F.arrays_zip("w.at", "w.size", "w.mark")).alias("w")
+    known = rows.select("item", _marks(None, window)("text").alias("w")).select("item", zipped)
+    known = stage(known.select("item", "w.size", "w.mark").distinct(), "windows")
+    sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # at most so many as a window has words
+    key, hit = fresh(docs, "text_key"), fresh(docs, "hit")
+    texts = docs.where(F.col(text).isNotNull()).groupBy(F.sha2(F.col(text), 256).alias(key)).agg(F.first(text).alias("text"))
+    cut = texts.select(key, _marks(sizes, window)("text").alias("w")).select(key, zipped).select(key, "w.*")
+    met = stage(cut.join(known.select("mark").distinct(), "mark", "left_semi"), "met")
+    places = met.groupBy(key).agg(F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("size")).alias("to")))).alias("places"))
+    items = met.select(key, "mark").distinct().join(known.where("item is not null").select("item", "mark"), "mark").groupBy(key).agg(F.sort_array(F.collect_set("item")).alias("items"))
+    both = places.join(items, key, "left").select(key, F.struct("places", "items").alias(hit))
+
+    def each(of: list[dict]) -> list[list]:
+        cols: list[list] = [[], [], [], []]
+        for r in of:
+            ranges: list[tuple[int, int]] = []
+            for p in (r["hit"] or {}).get("places") or []:
+                if ranges and p["at"] <= ranges[-1][1]:
+                    ranges[-1] = (ranges[-1][0], max(ranges[-1][1], p["to"]))
+                else:
+                    ranges.append((p["at"], p["to"]))
+            for c, x in zip(cols, _row(r["text"], len(normal_words(r["text"])), ranges, (r["hit"] or {}).get("items") or []), strict=True):
+                c.append(x)
+        return cols
+
+    got = docs.withColumn(key, F.sha2(F.col(text), 256)).join(both, key, "left")
+    return got.withColumn(found, struct_udf(each, _FOUND, _FOUND_DDL)(F.struct(F.col(text).alias("text"), F.col(hit).alias("hit"))))
 
 
 def digest(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
