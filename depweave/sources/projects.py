@@ -213,8 +213,17 @@ def compile_commands(entries: DataFrame) -> DataFrame:
     return rows.groupBy("file").agg(F.max_by("tokens", F.struct(F.size("tokens").alias("n"), (-F.col("ordinal")).alias("o"))).alias("tokens"))
 
 
-def include_directories(rows: DataFrame) -> DataFrame:
-    """``project, directory, ordinal``: directories of ``;``-lists in order, each once."""
+def relevant_commands(commands: DataFrame, files: DataFrame, directory: str) -> DataFrame:
+    """Those of the commands whose ``file`` is one of the project's files (``path``), or lies below its directory; whatever the case."""
+    below = F.startswith(ci("file"), F.lit(directory.upper().rstrip("/") + "/"))
+    mine = files.select(ci("path").alias("_u"), F.lit(True).alias("_mine")).distinct()
+    found = commands.withColumn("_u", ci("file")).join(mine, "_u", "left")
+    return found.where(below | F.col("_mine")).select(*commands.columns)
+
+
+def include_directories(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """``project, directory, ordinal``: directories of ``;``-lists in order, each once; with ``existing`` (``directory``) those only that exist."""
     each = rows.select("project", "ordinal", F.posexplode(F.split("value", ";")).alias("pos", "directory")).withColumn("directory", F.trim("directory")).where("directory <> ''")
     first = each.groupBy("project", "directory").agg(F.min(F.struct("ordinal", "pos")).alias("at"))
+    first = first if existing is None else first.join(existing, "directory", "left_semi").select("project", "directory", "at")
     return first.withColumn("ordinal", F.row_number().over(Window.partitionBy("project").orderBy("at")) - 1).drop("at")
