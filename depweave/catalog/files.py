@@ -112,7 +112,7 @@ ORACLES = {
     "include_directories": """
         WITH e AS (SELECT l_suppkey AS project, l_orderkey * 10 + l_linenumber AS o, unnest([{'p': 0, 'd': '/inc/p' || l_partkey}, {'p': 2, 'd': '/inc/l' || l_linenumber}, {'p': 3, 'd': '/inc/p' || l_linenumber}]) AS u FROM lineitem),
         f AS (SELECT project, u.d AS directory, min({'o': o, 'p': u.p}) AS first FROM e WHERE u.d IN (SELECT '/inc/p' || p_partkey FROM part WHERE p_size <= 25 UNION ALL SELECT '/inc/l' || p_size % 5 FROM part) GROUP BY ALL)
-        SELECT project, directory, row_number() OVER (PARTITION BY project ORDER BY first) - 1 AS ordinal FROM f""",
+        SELECT project, directory, row_number() OVER (PARTITION BY project ORDER BY first, directory) - 1 AS ordinal FROM f""",
     "collision_spread_kinds": """
         WITH n AS (SELECT o_orderkey AS id, o_custkey // 20 * 10 + 0.25 AS x, o_orderkey % (1 + o_custkey // 20 % 9) * 7.0 AS y, o_orderstatus = 'P' AS pinned FROM orders),
         k AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY x, y, pinned) AS c FROM n WINDOW w AS (PARTITION BY x, y, pinned ORDER BY id))"""

@@ -222,8 +222,8 @@ def relevant_commands(commands: DataFrame, files: DataFrame, directory: str) ->
 
 
 def include_directories(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """``project, directory, ordinal``: directories of ``;``-lists in order, each once; with ``existing`` (``directory``) those only that exist."""
+    """``project, directory, ordinal``: directories of ``;``-lists in order (of equal places by name), each once; with ``existing`` (``directory``) those only that exist."""
     each = rows.select("project", "ordinal", F.posexplode(F.split("value", ";")).alias("pos", "directory")).withColumn("directory", F.trim("directory")).where("directory <> ''")
     first = each.groupBy("project", "directory").agg(F.min(F.struct("ordinal", "pos")).alias("at"))
     first = first if existing is None else first.join(existing, "directory", "left_semi").select("project", "directory", "at")
-    return first.withColumn("ordinal", F.row_number().over(Window.partitionBy("project").orderBy("at")) - 1).drop("at")
+    return first.withColumn("ordinal", F.row_number().over(Window.partitionBy("project").orderBy("at", "directory")) - 1).drop("at")
