@@ -9,7 +9,7 @@ from depweave.catalog import edges as CE
 from depweave.catalog import graphs as CG
 from depweave.catalog.edges import payload_edges, payload_nodes
 from depweave.catalog.graphs import upper_graph
-from depweave.catalog.sql import GRAPH, facts
+from depweave.catalog.sql import GRAPH, facts, node
 from depweave.functions import ids
 from depweave.operators import arrange as A
 from depweave.operators import edges as E
@@ -233,10 +233,28 @@ def payload_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.as_json(payload_nodes(w).select("id", "label", F.col("group").alias("node_group")), edges)
 
 
+def visible_impact_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many nodes a package's change reaches over visible edges: no assemblies, nor projects that are hidden one by one."""
+    w = Workspace(spark, sf_dir)
+    nodes, edges = upper_graph(w)
+    hidden = w.projects.where("n_nationkey > 20").select(ids.node_id("project", "project_key").alias("id"))
+    view = V.View(assemblies=False)
+    shown = stage(V.visible_nodes(nodes, view, hidden).select("id", "group"), "shown")
+    seeds = shown.where("group = 'package'").select(F.col("id").alias("seed"), F.col("id").alias("node"))
+    return G.impact_counts(seeds, stage(V.visible_edges(edges, shown.select("id"), view), "edges"), "incoming")
+
+
+def filtered_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of parts by supplier while a filter is set: all hits, none omitted."""
+    w = Workspace(spark, sf_dir)
+    items = _first_suppliers(w).where(F.contains(F.lower("p_name"), F.lit("red"))).select(F.col("s").alias("section"), F.col("p_partkey").alias("item"))
+    return K.capped_sections(items, ["section"], ["item"], None).select("section", "item", F.col("omitted").cast("long").alias("omitted"))
+
+
 QUERIES = {f.__name__: f for f in (
     dependency_candidates, kind_labels, message_texts, native_attributes, reference_dedupe, symbol_dedupe, pinned_nodes, hidden_nodes, include_discovery, placement_order, cluster_order, edge_springs, structured_massive,
     step_functions, symbol_keys, display_names, native_labels, focused_nodes, map_seeds, line_ends, symbol_order, distinct_names, labelled_references, managed_before_native, include_edges, capped_files, fallback_source,
-    search_edges, payload_json,
+    search_edges, payload_json, visible_impact_count, filtered_sections,
 )}
 
 _SPELLED = "sp AS (SELECT l_suppkey, CASE WHEN l_returnflag = 'A' THEN upper(p_brand) ELSE p_brand END AS name, p_name, l_orderkey * 10 + l_linenumber AS o FROM lineitem JOIN part ON l_partkey = p_partkey)"
@@ -329,4 +347,9 @@ ORACLES = {
     "payload_json": facts("""
         SELECT 'node' AS part, CAST(to_json({'id': id, 'label': label, 'node_group': grp}) AS VARCHAR) AS json FROM all_nodes
         UNION ALL SELECT 'edge', CAST(to_json({'source': source, 'target': target}) AS VARCHAR) FROM kind_edges WHERE kind = 'contains-document'""", GRAPH),
+    "visible_impact_count": facts("""
+        , vn AS (SELECT id, grp FROM unodes WHERE grp <> 'assembly' AND id NOT IN (SELECT HIDDEN FROM nation WHERE n_nationkey > 20)),
+        ve AS (SELECT source, target FROM uedges WHERE kind <> 'project-assembly' AND source IN (SELECT id FROM vn) AND target IN (SELECT id FROM vn)),
+        r AS (SELECT id AS seed, id AS node FROM vn WHERE grp = 'package' UNION SELECT seed, source FROM r JOIN ve ON target = node) SELECT seed, count(*) - 1 AS impact FROM r GROUP BY seed""".replace("HIDDEN", node("project", "('name:' || n_name)")), GRAPH, CG._UPPER, recursive=True),
+    "filtered_sections": f"SELECT s AS section, p_partkey AS item, CAST(0 AS BIGINT) AS omitted FROM part {_FIRST} WHERE contains(lower(p_name), 'red')",
 }

@@ -31,8 +31,10 @@ def last_states(states: DataFrame, key: str, order: list[str], keep: int = 80) -
     return kept.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
 
 
-def capped_sections(items: DataFrame, keys: list[str], order: list[str], cap: int = 96) -> DataFrame:
-    """The first ``cap`` items of each section, with ``omitted``: how many are left out."""
+def capped_sections(items: DataFrame, keys: list[str], order: list[str], cap: int | None = 96) -> DataFrame:
+    """The first ``cap`` items of each section, with ``omitted``: how many are left out. Without a cap, as in sections that are filtered and in those of files, all."""
+    if cap is None:
+        return items.withColumn("omitted", F.lit(0))
     w = Window.partitionBy(*keys)
     ranked = items.withColumn("_n", F.row_number().over(w.orderBy(*order)))
     totals = items.groupBy(*keys).agg(F.count("*").alias("_t"))
