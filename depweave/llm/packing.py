@@ -92,8 +92,10 @@ def pack(pieces: DataFrame, size: int = SIZE, open_bins: int = OPEN, shard_token
     Pieces are dealt by a hash of their place in the staged table to shards of about ``shard_tokens``
     tokens, so that no key of the data can make a shard large; in each they arrive longest first.
     A shard is one stream through one task, whose memory is the open sequences. Sequence ids are
-    unique over all shards.
+    unique over all shards. Other columns stay; ``sequence_id`` and ``offset`` of pieces themselves
+    are replaced. No pieces give no rows.
     """
+    pieces = pieces.drop("sequence_id", "offset")
     place, shard = fresh(pieces, "place"), fresh(pieces, "shard")
     kept = stage(pieces.withColumn(place, F.monotonically_increasing_id()), "pieces")
     tokens = kept.agg(F.sum("length")).first()[0] or 0
