@@ -46,7 +46,8 @@ def sources(w: Workspace) -> DataFrame:
     rows = parts.select(s.alias("s"), "l_partkey", method.alias("method"))
     body = rows.groupBy("s").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_partkey", "method"))), lambda x: x["method"]), "\n").alias("body"))
     head = F.concat(F.lit('#include "base.h"\n#include <vector>\n#define S'), F.col("s"), F.lit(' 1\nh = LoadLibraryA("s'), F.col("s"), F.lit('.dll");\nGetProcAddress(h, "run");\nclass S : public Base\n{\n'))
-    return body.select(F.concat(F.lit("s"), "s").alias("document_id"), F.concat(head, "body", F.lit("\n};\n")).alias("text"))
+    made = body.select(F.concat(F.lit("s"), "s").alias("document_id"), F.concat(head, "body", F.lit("\n};\n")).alias("text"))
+    return made.repartition(2 * w.spark.sparkContext.defaultParallelism)  # small texts that take long to read
 
 
 def stripped_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,11 +56,41 @@ def stripped_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def method_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the bodies of methods in the derived sources."""
-    return C.facts(sources(Workspace(spark, sf_dir)), "ranges")
+    return C.facts(sources(Workspace(spark, sf_dir)), "ranges").drop("namespace_scope")
 
 
 def cpp_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.facts(sources(Workspace(spark, sf_dir)), "declarations")
+    return C.facts(sources(Workspace(spark, sf_dir)), "declarations").drop("namespace_scope")
+
+
+def heads(w: Workspace) -> DataFrame:
+    """C++ sources whose heads go over lines: a class for each supplier, derived from its nation and the parts that it delivers, a base on a line; and the parts, by brand, in a namespace."""
+    parts = w.table("lineitem").select("l_suppkey", "l_partkey").distinct().join(w.table("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    brand = F.replace("p_brand", F.lit("#"), F.lit("_"))
+    k, s = F.col("l_partkey").cast("string"), F.col("s_suppkey").cast("string")
+    bases = parts.groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("l_partkey", F.concat(F.lit("  public "), brand, F.lit("::P"), k).alias("base")))).alias("bases"))
+    nation = F.concat(F.lit("N"), F.col("s_nationkey").cast("string"))
+    listed = F.array_join(F.transform("bases", lambda x: x["base"]), ",\n\n")
+    lines = ["struct ", nation, " {};\nnamespace vendors {\n// derived\nclass S", s, "\n : public ", nation, ",\n", listed, "\n{\n  ", nation, " make(Other* other,", nation, "& more);\n};\n}\n"]
+    text = F.concat(*(F.lit(x) if isinstance(x, str) else x for x in lines))
+    classes = w.table("supplier").join(bases, F.col("s_suppkey") == F.col("l_suppkey")).select(F.concat(F.lit("s"), s).alias("document_id"), text.alias("text"))
+    each = w.table("part").select(brand.alias("brand"), "p_partkey", F.concat(F.lit("union P"), F.col("p_partkey").cast("string"), F.lit(" : Other {};")).alias("line"))
+    body = each.groupBy("brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    brands = body.select(F.concat(F.lit("b"), "brand").alias("document_id"), F.concat(F.lit("class Other;\nnamespace "), "brand", F.lit("\n{\n"), "body", F.lit("\n}\n")).alias("text"))
+    return classes.unionByName(brands)
+
+
+def declaration_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the heads of declarations refer to, resolved by scope: bases behind a colon, on whichever line of the head, are inheritance."""
+    code = stage(C.marked(C.lines(heads(Workspace(spark, sf_dir)))), "lines")
+    declared = C.declarations(code, "document_id").withColumn("key", F.concat_ws("|", "document_id", "qualified_name"))
+    refs = C.declaration_references(code, "document_id").select(
+        F.concat_ws(":", "document_id", "line", "qualified_name", "token").alias("ref_id"), "token", ids.containing_scope("qualified_name").alias("scope"), "namespace_scope", F.col("document_id").alias("ref_document"),
+        F.col("line").alias("ref_line"), F.concat_ws("|", "document_id", "qualified_name").alias("ref_key"), "reference_kind",
+    )
+    found = S.resolve_scoped(refs.drop("reference_kind").distinct(), declared.select("key", "qualified_name", "document_id", "line", "is_definition"))
+    both = refs.join(found.select("ref_id", F.col("key").alias("target")), "ref_id").where("ref_key <> target")
+    return both.groupBy(F.col("ref_key").alias("source"), "target", "reference_kind").agg(F.count("*").alias("reference_count"))
 
 
 def include_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,13 +99,15 @@ def include_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cpp_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols that methods of the derived sources refer to: tokens, put in the range around them, resolved by scope."""
-    code = stage(C.lines(sources(Workspace(spark, sf_dir))), "lines")
+    code = stage(C.marked(C.lines(sources(Workspace(spark, sf_dir)))), "lines")
     declared = C.declarations(code, "document_id").withColumn("key", F.concat_ws("|", "document_id", "qualified_name"))
     refs = C.references(code, "document_id").withColumn("ref_id", F.concat_ws(":", "document_id", "line", "token"))
     ranges = C.ranges(code, "document_id").withColumnRenamed("qualified_name", "symbol_id")
     inside = S.enclosing_ranges(refs.select("ref_id", "document_id", "line").distinct(), ranges)
+    spaces = declared.select(F.col("document_id").alias("d"), F.col("qualified_name").alias("q"), "namespace_scope").distinct()
+    inside = inside.join(spaces, (F.col("document_id") == F.col("d")) & (F.col("symbol_id") == F.col("q")))
     named = refs.select("ref_id", "token", "reference_kind").distinct().join(inside, "ref_id").select(
-        "ref_id", "token", F.col("symbol_id").alias("scope"), F.col("document_id").alias("ref_document"), F.col("line").alias("ref_line"), F.concat_ws("|", "document_id", "symbol_id").alias("ref_key"), "reference_kind",
+        "ref_id", "token", ids.containing_scope("symbol_id").alias("scope"), "namespace_scope", F.col("document_id").alias("ref_document"), F.col("line").alias("ref_line"), F.concat_ws("|", "document_id", "symbol_id").alias("ref_key"), "reference_kind",
     )
     found = S.resolve_scoped(named, declared.select("key", "qualified_name", "document_id", "line", "is_definition"))
     return named.join(found.select("ref_id", F.col("key").alias("target")), "ref_id").groupBy(F.col("ref_key").alias("source"), "target", "reference_kind").agg(F.count("*").alias("reference_count"))
@@ -110,7 +143,7 @@ def import_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    line_snippets, page_links, reference_tokens, strip_comments, stripped_sources, method_ranges, cpp_declarations, include_directives, cpp_references, native_libraries, package_refs, msbuild_conditions, import_closure,
+    line_snippets, page_links, reference_tokens, strip_comments, stripped_sources, method_ranges, cpp_declarations, declaration_references, include_directives, cpp_references, native_libraries, package_refs, msbuild_conditions, import_closure,
 )}
 
 _TRIM = "trim(raw, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')"
@@ -136,6 +169,16 @@ ORACLES = {
     "cpp_references": _METHODS + """
         SELECT document_id || '|S::m' || k AS source, document_id || CASE WHEN after IS NULL THEN '|S' ELSE '|S::m' || after END AS target,
                CASE WHEN after IS NULL THEN 'creation' ELSE 'call' END AS reference_kind, CAST(1 AS BIGINT) AS reference_count FROM m""",
+    "declaration_references": """
+        WITH d AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS k FROM lineitem), b AS (SELECT s, k, row_number() OVER (PARTITION BY s ORDER BY k) AS i FROM d),
+        v AS (SELECT 's' || s_suppkey || '|vendors::S' || s_suppkey AS me, 's' || s_suppkey || '|N' || s_nationkey AS base, s_suppkey AS s FROM supplier WHERE s_suppkey IN (SELECT s FROM d)),
+        o AS (SELECT min('b' || replace(p_brand, '#', '_')) AS first FROM part)
+        SELECT me AS source, base AS target, 'inheritance' AS reference_kind, CAST(1 AS BIGINT) AS reference_count FROM v
+        -- The head's lines: S, its nation, then a base on every other line.
+        UNION ALL SELECT me, 'b' || replace(p_brand, '#', '_') || '|' || replace(p_brand, '#', '_') || '::P' || k, 'inheritance', 1 FROM b JOIN v USING (s) JOIN part ON p_partkey = k WHERE 2 * i <= 7
+        UNION ALL SELECT me || '::make', base, 'reference', 2 FROM v
+        UNION ALL SELECT me || '::make', first || '|Other', 'reference', 1 FROM v, o
+        UNION ALL SELECT 'b' || replace(p_brand, '#', '_') || '|' || replace(p_brand, '#', '_') || '::P' || p_partkey, 'b' || replace(p_brand, '#', '_') || '|Other', 'reference', 1 FROM part""",
     "line_snippets": f"""
         SELECT doc_id, line, CASE WHEN length({_TRIM}) > 180 THEN substr({_TRIM}, 1, 177) || '...' ELSE {_TRIM} END AS snippet
         FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents) WHERE {_TRIM} <> ''""",

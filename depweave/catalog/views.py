@@ -139,7 +139,7 @@ def scoped_name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = _named(Workspace(spark, sf_dir))
     token = F.concat(F.lit("f"), F.col("key") % 89)
     refs = named.select(
-        F.col("key").alias("ref_id"), F.when(F.col("key") % 3 == 0, F.concat_ws("::", F.col("p_type"), token)).otherwise(token).alias("token"), F.concat_ws("::", "p_brand", "p_type").alias("scope"),
+        F.col("key").alias("ref_id"), F.when(F.col("key") % 3 == 0, F.concat_ws("::", F.col("p_type"), token)).otherwise(token).alias("token"), F.concat_ws("::", "p_brand", "p_type").alias("scope"), F.col("p_brand").alias("namespace_scope"),
         F.col("document_id").alias("ref_document"), F.lit(250).cast("long").alias("ref_line"), F.col("key").alias("ref_key"),
     )
     return S.resolve_scoped(refs, named.select("key", "qualified_name", "document_id", "line", "is_definition")).select("ref_id", F.col("probe").cast("long").alias("probe"), "key")
@@ -245,9 +245,10 @@ ORACLES = {
         FROM l c ASOF JOIN loads o ON c.l_suppkey = o.l_suppkey AND upper(c.handle) = o.u AND c.l_orderkey >= o.l_orderkey WHERE c.l_returnflag = 'A'""",
     "scoped_name_resolution": _NAMED + f"""
         , r AS (SELECT key AS ref_id, CASE WHEN key % 3 = 0 THEN p_type || '::f' || (key % 89) ELSE 'f' || (key % 89) END AS token, p_brand, p_type, doc AS rdoc, 250 AS rline FROM named),
-        probes AS (SELECT *, 0 AS probe, p_brand || '::' || p_type || '::' || token AS q FROM r UNION ALL SELECT *, 1, p_brand || '::' || token FROM r UNION ALL SELECT *, 2, token FROM r),
+        probes AS (SELECT *, 0 AS probe, p_brand || '::' || p_type || '::' || token AS q FROM r WHERE ref_id % 3 <> 0
+                   UNION ALL SELECT *, CASE WHEN ref_id % 3 = 0 THEN 0 ELSE 1 END, p_brand || '::' || token FROM r UNION ALL SELECT *, CASE WHEN ref_id % 3 = 0 THEN 1 ELSE 2 END, token FROM r),
         cand AS (SELECT ref_id, probe, rdoc, rline, n.key, n.doc, n.line, n.def FROM probes JOIN named n USING (q) WHERE n.key <> ref_id
-                 UNION ALL SELECT ref_id, 1048576, rdoc, rline, n.key, n.doc, n.line, n.def FROM r JOIN named n ON n.simple = r.token WHERE n.key <> ref_id),
+                 UNION ALL SELECT ref_id, 1048576, rdoc, rline, n.key, n.doc, n.line, n.def FROM r JOIN named n ON n.simple = 'f' || (r.ref_id % 89) WHERE n.key <> ref_id),
         best AS (SELECT *, {_PICK} AS tier FROM cand),
         o AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY probe, tier, CASE tier WHEN 1 THEN -line WHEN 2 THEN line ELSE 0 END, doc, line, key) AS n FROM best)
         SELECT ref_id, CAST(probe AS BIGINT) AS probe, key FROM o WHERE n = 1""",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from depweave.plans.carry import carried
+
 
 def retained(snapshots: DataFrame, workspace: str = "workspace", id_: str = "snapshot_id", keep: int = 20) -> DataFrame:
     """The last ``keep`` snapshots of each workspace."""
@@ -19,9 +21,10 @@ def latest(snapshots: DataFrame, workspace: str = "workspace", id_: str = "snaps
 
 
 def without_repeats(states: DataFrame, key: str, order: list[str], state: str) -> DataFrame:
-    """States that differ from the one before."""
-    before = F.lag(state).over(Window.partitionBy(key).orderBy(*order))
-    return states.withColumn("_b", before).where(~F.col("_b").eqNullSafe(F.col(state)) | F.col("_b").isNull()).drop("_b")
+    """States that differ from the one before. A key of many states is dealt over tasks by ranges of the order."""
+    placed = carried(states.withColumn("_s", F.struct(state)), [key], order, "_s", "_b", inclusive=False)
+    before = F.col(f"_b.{state}")
+    return placed.where(~before.eqNullSafe(F.col(state)) | before.isNull()).drop("_b", "_s")
 
 
 def last_states(states: DataFrame, key: str, order: list[str], keep: int = 80) -> DataFrame:

@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from depweave.functions import ids
@@ -8,6 +11,7 @@ from depweave.operators import ranked as K
 from depweave.operators import resolve as S
 from depweave.operators import rollup as R
 from depweave.operators import view as V
+from depweave.plans import carry
 from tests.conftest import rows
 
 OBS = "ordinal long, source_document_id string, source_symbol_key string, target_symbol_key string, reference_kind string, confidence string, file string, line int, snippet string"
@@ -97,7 +101,28 @@ def test_tiers(spark):
 def test_scopes(spark):
     sym = spark.createDataFrame([("k1", "A::B::f", "x", 1, True), ("k2", "A::f", "x", 2, True), ("k3", "f", "x", 3, True), ("k4", "Z::g", "x", 4, True)], "key string, qualified_name string, document_id string, line int, is_definition boolean")
     refs = spark.createDataFrame([(1, "f", "A::B::C", "d", 9, "s"), (2, "f", "", "d", 9, "s"), (3, "g", "A", "d", 9, "s"), (4, "B::f", "A", "d", 9, "s")], "ref_id int, token string, scope string, ref_document string, ref_line int, ref_key string")
-    assert rows(S.resolve_scoped(refs, sym), "ref_id", "key") == [(1, "k1"), (2, "k3"), (3, "k4"), (4, "k1")]
+    assert rows(S.resolve_scoped(refs.withColumn("namespace_scope", F.col("scope")), sym), "ref_id", "key") == [(1, "k1"), (2, "k3"), (3, "k4"), (4, "k1")]
+
+
+def test_qualified_names_go_through_namespaces_and_simple_ones_through_all_scopes(spark):
+    sym = spark.createDataFrame(
+        [("inner", "A::T::X::f", "x", 1, True), ("outer", "A::X::f", "x", 2, True), ("member", "A::T::m", "x", 3, True), ("free", "A::m", "x", 4, True), ("far", "Q::R::z", "x", 5, True)],
+        "key string, qualified_name string, document_id string, line int, is_definition boolean",
+    )
+    refs = spark.createDataFrame([(1, "X::f"), (2, "m"), (3, "N::z"), (4, "N::none")], "ref_id int, token string").selectExpr("*", "'A::T' AS scope", "'A' AS namespace_scope", "'d' AS ref_document", "9 AS ref_line", "'s' AS ref_key")
+    # The last but one is found by its simple name, although it is qualified.
+    assert rows(S.resolve_scoped(refs, sym), "ref_id", "key") == [(1, "outer"), (2, "member"), (3, "far")]
+
+
+def test_candidates_of_a_name_that_all_have(spark):
+    """The bounded candidates hold the preferred one of all."""
+    rng = random.Random(6)
+    sym = [(f"k{rng.randrange(60)}", "n", f"d{rng.randrange(8)}", rng.randrange(50), rng.random() < 0.5) for _ in range(200)]
+    refs = [(i, "n", "", "", f"d{rng.randrange(9)}", rng.randrange(50), f"k{rng.randrange(70)}") for i in range(40)]
+    s = spark.createDataFrame(sym, "key string, qualified_name string, document_id string, line int, is_definition boolean")
+    r = spark.createDataFrame(refs, "ref_id int, token string, scope string, namespace_scope string, ref_document string, ref_line int, ref_key string")
+    want = S.preferred(r.crossJoin(s), ["ref_id"])
+    assert rows(S.resolve_scoped(r, s), "ref_id", "key", "document_id", "line") == rows(want, "ref_id", "key", "document_id", "line")
 
 
 def test_fallback_source(spark):
@@ -166,3 +191,40 @@ def test_numbering(spark):
     df = spark.range(1000).selectExpr("(id * 7919) % 1000 as x").repartition(7)
     got = [(r["x"], r["n"]) for r in numbered(df, ["x"], "n").collect()]
     assert len(got) == 1000 and all(n == x + 1 for x, n in got)
+
+
+@pytest.fixture
+def many_ranges(spark):
+    """Small tables stay in several ranges, as large ones are."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_carried_over_ranges(spark, many_ranges):
+    """A key of most rows is dealt over tasks, and every value arrives."""
+    rng = random.Random(7)
+    data = [(None if k % 50 == 3 else "hot" if k % 3 else f"k{k % 40}", k, rng.choice([None, None, None, rng.randrange(1000)])) for k in range(6000)]
+    df = spark.createDataFrame(data, "key string, at int, value int").repartition(5)
+    for inclusive, key_rows in ((True, 0), (False, 0), (True, 10_000), (False, 10_000)):
+        last, want = {}, {}
+        for key, at, value in data:
+            if not inclusive:
+                want[at] = last.get(key)
+            if value is not None:
+                last[key] = value
+            if inclusive:
+                want[at] = last.get(key)
+        got = {r["at"]: r["out"] for r in carry.carried(df, ["key"], ["at"], "value", "out", inclusive, key_rows).collect()}
+        assert got == want
+    down, seen = {}, {}
+    for key, at, value in reversed(data):
+        seen[key] = value if value is not None else seen.get(key)
+        down[at] = seen[key]
+    assert {r["at"]: r["out"] for r in carry.carried(df, ["key"], [F.col("at").desc()], "value", "out", key_rows=0).collect()} == down
+    # Values that stand in one range only reach the end of a key that goes on over all others.
+    lone = spark.range(4000).select(F.lit(1).alias("key"), F.col("id").alias("at"), F.when(F.col("id") == 2, 5).alias("value"))
+    assert [tuple(r) for r in carry.carried(lone, ["key"], ["at"], "value", "out", key_rows=0).groupBy("out").count().orderBy("out").collect()] == [(None, 2), (5, 3998)]
+    ranges = [r["count"] for r in carry.ranged(df, ["key"], ["at"]).groupBy("_p").count().collect()]
+    assert len(ranges) >= 3 and max(ranges) < 0.5 * len(data)
+    assert carry.carried(df.limit(0), ["key"], ["at"], "value", "out", key_rows=-1).count() == 0
