@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depweave.llm.common import struct_udf
+from depweave.llm.common import fresh, struct_udf
 from depweave.llm.contamination import normal_words
 from depweave.operators.components import connected_components
 from depweave.plans.staging import stage, unstage
@@ -144,6 +144,13 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return (total - union) / union
 
 
+def _mark(text: str | None, words: list[bytes]) -> bytes | None:
+    """Equal for texts of the same words in the same order, or, without words, for equal texts."""
+    if text is None:
+        return None
+    return hashlib.md5(b"w" + b" ".join(words) if words else b"t" + text.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
+
+
 def signed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, same, bands``: same is equal for texts of the same words in the same order (wordless texts: for equal texts)."""
 
@@ -151,8 +158,7 @@ def signed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         same, out = [], []
         for t in texts:
             words = normal_words(t)
-            mark = b"w" + b" ".join(words) if words else b"t" + (t or "").encode("utf-8", "surrogatepass")
-            same.append(hashlib.md5(mark, usedforsecurity=False).digest() if t is not None else None)
+            same.append(_mark(t, words))
             out.append(bands(signature(cells(words))).tolist() if words else [])
         return [same, out]
 
@@ -160,6 +166,12 @@ def signed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return docs.select(F.col(key).alias("id"), run(F.col(text)).alias("r")).select("id", "r.same", "r.bands")
 
 
+def marks(docs: DataFrame, text: str, out: str) -> DataFrame:
+    """docs with ``out``, the ``same`` of their texts."""
+    run = struct_udf(lambda texts: [[_mark(t, normal_words(t)) for t in texts]], [("same", pa.binary())], "same binary")
+    return docs.withColumn(out, run(F.col(text))["same"])
+
+
 def buckets(firsts: DataFrame, scratch: list[DataFrame] | None = None) -> DataFrame:
     """``band, id, lead`` of all buckets that several documents share; lead is the least id of the bucket.
 
@@ -266,11 +278,22 @@ def rare_pairs(texts: DataFrame, hot: DataFrame, least: float, scratch: list[Dat
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def member_texts(docs: DataFrame, members: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id, text`` of the documents that share a bucket, staged: read for both ends of every pair, and joined as it is, a leader of very many pairs can be dealt out."""
-    ids = members.select("id").distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return stage(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
+def member_texts(docs: DataFrame, members: DataFrame, firsts: DataFrame, scratch: list[DataFrame], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id, text`` of the different texts that share a bucket, staged: read for both ends of every pair, and joined as it is, a leader of very many pairs can be dealt out.
+
+    A text is read from a document that has it, or from all without an id if only these have it; which
+    text a document has says its mark, so an id may stand on several.
+    """
+    wanted = stage(firsts.join(members.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("node", "same", "least"), "wanted")
+    scratch.append(wanted)
+    few = wanted.count() <= BROADCAST_IDS // 2
+    side = F.broadcast if few else lambda df: df
+    rows = docs.select(F.col(key).alias("least"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    with_id = rows.join(side(wanted.where("least is not null").select("least").distinct()), "least", "left_semi")
+    if wanted.where("least is null").limit(1).count():
+        with_id = with_id.unionByName(rows.where("least is null"))
+    found = marks(with_id, "text", "same").join(side(wanted.select("node", "same")), "same")
+    return stage(found.groupBy(F.col("node").alias("id")).agg(F.min("text").alias("text")), "texts")
 
 
 def links(texts: DataFrame, pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -298,27 +321,36 @@ def links(texts: DataFrame, pairs: DataFrame, least: float = SIMILARITY) -> Data
     return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """One row ``doc_id, class_id`` for each row of docs; a class is named by its least id.
+def _same_ids(sigs: DataFrame, firsts: DataFrame, scratch: list[DataFrame]) -> DataFrame | None:
+    """Links ``a < b`` of the different texts on which one id stands; None if there are none."""
+    rows = sigs.where("id is not null and same is not null").select("id", "same")
+    several = stage(rows.groupBy("id").agg(F.min("same").alias("s"), F.max("same").alias("t")).where("s < t").select("id"), "several")
+    scratch.append(several)
+    if not several.limit(1).count():
+        return None
+    on = rows.join(several, "id", "left_semi").distinct().join(firsts.select("same", "node"), "same")
+    least = on.groupBy("id").agg(F.min("node").alias("a"))
+    return on.join(least, "id").where("a < node").select("a", F.col("node").alias("b")).distinct()
 
-    Two texts are linked if the weighted Jaccard similarity of their 5-word shingles is ``least``
-    or more (words: ASCII letters in lower case, digits and all other non-ASCII characters); a
-    class is what links connect. Texts of the same words are one text from the start, so that
-    thousands of copies are signed and compared as one. Wordless texts, the empty one among them,
-    are in one class only with equal texts. A null text is alone. Rows that share an id are one
-    document. A row without an id has the class of an equal text that has one, else a null class.
-    Ids are 64-bit integers.
+
+def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """``id, same, group, class_id``, staged: a row for each row of docs; group is a number of the class, null for null texts, whose class_id is the id.
+
+    Everything is found between different texts, which have numbers of their own (``node``), and
+    only at the end do rows take the class of their text. So it makes no difference which ids are
+    missing or repeated.
     """
     sigs = stage(signed(docs, key, text), "signed")
-    firsts = sigs.where("same is not null and id is not null").groupBy("same", "bands").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    # The copies of a text are links as well, also where a repeated id stands on different texts.
-    groups = firsts.where("n > 1").select("same", F.col("id").alias("first"))
-    copies = sigs.where("id is not null").select("id", "same").join(groups, "same").where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    scratch: list[DataFrame] = []  # staged tables that are read no more once the classes are known
-    members = stage(buckets(firsts.where("size(bands) > 0").select("id", "bands"), scratch), "members")
-    texts = member_texts(docs, members, key, text)
+    # The number is staged with the row, so it is fixed whatever is lost later.
+    firsts = sigs.where("same is not null").groupBy("same", "bands").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id())
+    firsts = stage(firsts, "firsts")
+    scratch: list[DataFrame] = [sigs, firsts]  # staged tables that are read no more once the classes are known
+    members = stage(buckets(firsts.where("size(bands) > 0").select(F.col("node").alias("id"), "bands"), scratch), "members")
+    texts = member_texts(docs, members, firsts, scratch, key, text)
     asked = stage(first_pairs(members), "pairs")
-    found = stage(links(texts, asked, least).unionByName(copies), "links")
+    found = links(texts, asked, least)
+    shared = _same_ids(sigs, firsts, scratch)
+    found = stage(found if shared is None else found.unionByName(shared), "links")
     part = connected_components(found, "a", "b")
     # Each step asks for pairs across the classes so far only; the last one leaves no pair that may be a link.
     steps = [lambda: leader_pairs(members, part), lambda: later_pairs(members, part), lambda: open_pairs(members, part, texts, least, scratch)]
@@ -330,35 +362,63 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
             scratch.append(more)
             if more.limit(1).count():
                 found = found.unionByName(more)
+                scratch.append(part)
                 part = connected_components(found, "a", "b")
         asked = asked.unionByName(pairs)
-    for done in (members, texts, asked, *scratch):
+    names = part.join(firsts.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("name"))
+    of = firsts.select("same", "node", "least").join(part.join(names, "component"), "node", "left")
+    of = of.select("same", F.coalesce("component", "node").alias("group"), F.when(F.col("component").isNotNull(), F.col("name")).otherwise(F.col("least")).alias("class_id"))
+    rows = stage(sigs.where("same is not null").select("id", "same").join(of, "same").select("id", "same", "group", "class_id"), "grouped")
+    bare = sigs.where("same is null").select("id")
+    if bare.limit(1).count():
+        by_id = rows.where("id is not null").select("id", "class_id").join(bare.distinct(), "id", "left_semi").groupBy("id").agg(F.min("class_id").alias("class_id"))
+        none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+        more = bare.join(by_id, "id", "left").select("id", none("binary", "same"), none("long", "group"), F.coalesce("class_id", "id").alias("class_id"))
+        both = stage(rows.unionByName(more), "grouped")
+        scratch.append(rows)
+        rows = both
+    for done in (members, texts, asked, part, *scratch):
         unstage(done)
-    by_id = sigs.join(part.withColumnRenamed("node", "id"), "id", "left").select("id", "same", F.coalesce("component", "id").alias("class_id"))
-    named = by_id.where("id is not null").select(F.col("id").alias("doc_id"), "class_id")
-    nameless = sigs.where("id is null").join(firsts.select("same", F.col("id").alias("first")), "same", "left").join(part.withColumnRenamed("node", "first"), "first", "left")
-    return named.unionByName(nameless.select(F.lit(None).cast("long").alias("doc_id"), F.coalesce("component", "first").alias("class_id")))
+    return rows
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """One row ``doc_id, class_id`` for each row of docs; a class is named by its least id.
+
+    Two texts are linked if the weighted Jaccard similarity of their 5-word shingles is ``least``
+    or more (words: ASCII letters in lower case, digits and all other non-ASCII characters); a
+    class is what links connect. Texts of the same words are one text from the start, so that
+    thousands of copies are signed and compared as one. Wordless texts, the empty one among them,
+    are in one class only with equal texts. A null text is alone. Rows that share an id are one
+    document, so their texts are of one class. A row without an id is of the class of its text, like
+    any other; a class in which no row has an id has a null name. Ids are of any type that has an order.
+    """
+    return grouped(docs, key, text, least).select(F.col("id").alias("doc_id"), "class_id")
 
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs without near-copies: of each class the document with the least id stays.
 
-    Of rows that share an id, one of the least text stays. Rows without an id stay unless they have
-    the class of a document that has one.
+    Of rows that share an id, one of the least text stays. Rows without an id go if a row of their
+    class has one; of a class without any, one row stays. Rows without id and text stay.
     """
-    found = stage(classes(docs, key, text), "classes")
+    found = grouped(docs, key, text)
     id_ = F.col(key)
-    copies = found.where("doc_id != class_id").select(F.col("doc_id").alias(key)).distinct()
+    copies = found.where("id != class_id").select(F.col("id").alias(key)).distinct()
     copies = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
     kept = docs.where(id_.isNotNull()).join(copies, key, "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id is not null and doc_id = class_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key))
+    order = F.struct(F.col(text).isNull().alias("none"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    whole = F.struct(*docs.columns).alias("row")
+    back = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    repeated = found.where("id is not null and id = class_id").groupBy("id").count().where("count > 1").select(F.col("id").alias(key))
     if repeated.limit(1).count():
-        order = F.struct(F.col(text).isNull().alias("none"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-        once = kept.join(repeated, key, "left_semi").select(id_.alias("id"), F.struct(*docs.columns).alias("row"), order.alias("order")).groupBy("id").agg(F.min_by("row", "order").alias("row"))
-        kept = kept.join(repeated, key, "left_anti").select(*docs.columns).unionByName(once.select(*(F.col("row").getField(c).alias(c) for c in docs.columns)))
-    if docs.where(id_.isNull()).limit(1).count():
-        same = signed(docs.where(id_.isNotNull()), key, text).select("same").distinct()
-        run = docs.where(id_.isNull())
-        marked = signed(run.select(F.struct(*run.columns).alias("row"), F.col(text).alias("text")), "row", "text")
-        kept = kept.unionByName(marked.join(same, "same", "left_anti").select("id.*"))
+        once = kept.join(repeated, key, "left_semi").select(id_.alias("id"), whole, order.alias("order")).groupBy("id").agg(F.min_by("row", "order").alias("row"))
+        kept = kept.join(repeated, key, "left_anti").select(*docs.columns).unionByName(once.select(*back))
+    nameless = docs.where(id_.isNull())
+    if nameless.limit(1).count():
+        same = fresh(docs, "same")
+        stay = found.where("id is null and class_id is null and same is not null").groupBy("group").agg(F.min("same").alias(same)).select(same)
+        marked = marks(nameless, text, same)
+        first = marked.join(stay, same).select(same, whole, order.alias("order")).groupBy(same).agg(F.min_by("row", "order").alias("row"))
+        kept = kept.unionByName(first.select(*back)).unionByName(nameless.where(F.col(text).isNull()))
     return kept

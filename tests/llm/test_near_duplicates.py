@@ -1,5 +1,6 @@
 """Near-duplicate classes against brute force, and the pipeline against its stages one by one."""
 
+import itertools
 import random
 import re
 from collections import Counter
@@ -70,6 +71,46 @@ def test_classes_against_brute_force(spark):
     assert N.classes(df.limit(0)).count() == 0 and N.drop_copies(df.limit(0)).count() == 0
 
 
+def test_no_link_is_lost_by_repeated_or_missing_ids(spark):
+    """Classes of rows, found by looking at all pairs of rows."""
+    rng = random.Random(13)
+    docs = []
+    for base in range(14):
+        words = [f"b{base}w{rng.randrange(200)}" for _ in range(rng.choice([5, 60, 90]))]
+        for _ in range(rng.randrange(1, 5)):
+            copy = list(words)
+            for _ in range(rng.choice([0, 1, 2, 9])):
+                copy[rng.randrange(len(copy))] = f"n{rng.random()}"
+            docs.append((rng.choice([None, rng.randrange(40), rng.randrange(40)]), " ".join(copy)))
+    docs += [(5, "text A " * 40), (5, "text B of the same id " * 30), (7, "text B of the same id " * 30 + "end"), (None, "text B of the same id " * 29), (None, "alone " * 9), (None, "alone " * 9), (None, None), (5, None), (None, "")]
+    part = list(range(len(docs)))
+
+    def find(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    sets = [shingles(t or "") for _, t in docs]
+    for a, b in itertools.combinations(range(len(docs)), 2):
+        (i, s), (j, t) = docs[a], docs[b]
+        union = sum((sets[a] | sets[b]).values())
+        alike = s is not None and t is not None and (s == t or (union and sum((sets[a] & sets[b]).values()) / union >= N.SIMILARITY))
+        if alike or (i is not None and i == j):
+            part[find(a)] = find(b)
+    name = {}
+    for k, (i, _) in enumerate(docs):
+        name[find(k)] = min((x for x in (name.get(find(k)), i) if x is not None), default=None)
+    want = sorted(((i, name[find(k)]) for k, (i, _) in enumerate(docs)), key=repr)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert sorted(((r["doc_id"], r["class_id"]) for r in N.classes(df).collect()), key=repr) == want
+    assert (5, 5) in want and (7, 5) in want and (None, 5) in want and (None, None) in want
+    kept = [r["doc_id"] for r in N.drop_copies(df).collect()]
+    bare = {find(k) for k, (i, t) in enumerate(docs) if name[find(k)] is None and t is not None}
+    assert sorted(x for x in kept if x is not None) == sorted({c for _, c in want if c is not None}) and kept.count(None) == len(bare) + 1
+    named = df.selectExpr("'id' || lpad(doc_id, 3, '0') AS doc_id", "text")  # ids of another type
+    assert sorted(((r["doc_id"], r["class_id"]) for r in N.classes(named).collect()), key=repr) == sorted(((i and f"id{i:03}" if i != 0 else "id000", c and f"id{c:03}" if c != 0 else "id000") for i, c in want), key=repr)
+
+
 def test_hot_group_makes_few_pairs(spark):
     rng = random.Random(3)
     base = [f"w{rng.randrange(500)}" for _ in range(300)]
