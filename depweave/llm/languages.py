@@ -102,7 +102,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     labels are an error. With no labelled row the model knows no language.
     """
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("key")).where("text is not null and lang is not null")
-    by_lang = {r["lang"]: r["n"] for r in docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
+    by_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
     if len(by_lang) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     languages = tuple(sorted(by_lang))
