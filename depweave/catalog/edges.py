@@ -13,7 +13,7 @@ from depweave.operators import edges as E
 from depweave.operators import graph as G
 from depweave.operators import payload as P
 from depweave.plans.staging import stage
-from depweave.sources.workspace import Workspace
+from depweave.sources.workspace import StagedWorkspace, Workspace
 
 
 def symbol_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +98,7 @@ def node_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edge_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Workspace(spark, sf_dir)
+    w = StagedWorkspace(spark, sf_dir)
     rows = P.between(payload_edges(w), payload_nodes(w))
     return G.flag_cycles(rows, project_members(w)).select("id", "source", "target", "kind", "weight", "reference_kind", "confidence", "is_cycle_edge")
 
@@ -110,7 +110,7 @@ def payload_symbol_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Workspace(spark, sf_dir)
+    w = StagedWorkspace(spark, sf_dir)
     docs, syms = E.document_edges(w.observations, w.declarations).select("source", "target"), E.symbol_edges(w.observations, w.declarations).select("source", "target")
     docs, syms = stage(docs, "documents"), stage(syms, "symbols")
     found = [G.cycles(edges, G.components_of_cycles(edges), kind) for kind, edges in (("project", w.project_references), ("document", docs), ("symbol", syms))]

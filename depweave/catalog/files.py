@@ -63,6 +63,8 @@ def compile_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 3 == 0, F.lit(None)).otherwise(_text(stem, ".cpp")).alias("file"), words.alias("arguments"),
         _text('cc "-I x y" -DK', n, " ", stem, ".C++").alias("command"), (F.col("l_orderkey") * 10 + n).alias("ordinal"),
     )
+    lost = w.table("supplier").select(F.lit(None).cast("string").alias("file"), F.lit(None).cast("array<string>").alias("arguments"), _text("cc -v -DS", F.col("s_suppkey")).alias("command"), F.col("s_suppkey").alias("ordinal"))
+    entries = entries.unionByName(lost)  # of an unknown source
     mine = w.table("part").where("p_size <= 25").select(_text("/SRC/subway/f", F.col("p_partkey"), ".cpp").alias("path"))
     return J.relevant_commands(J.compile_commands(entries), mine, "/Src/sub/").select("file", F.array_join("tokens", "|").alias("tokens"))
 
@@ -108,7 +110,8 @@ ORACLES = {
         WITH e AS (SELECT l_partkey AS k, l_linenumber AS n, l_orderkey * 10 + l_linenumber AS o, l_quantity > 40 AS long, '/src/' || CASE WHEN l_partkey % 3 = 0 THEN 'sub' ELSE 'subway' END || '/f' || l_partkey AS stem FROM lineitem),
         t AS (SELECT *, CASE WHEN long THEN 'cc|-c|-O2|-g|' || stem || '.cpp' WHEN n % 2 = 0 THEN 'cc|-c|' || stem || '.cpp' ELSE 'cc|-I x y|-DK' || n || '|' || stem || '.C++' END AS tokens,
                      CASE WHEN long THEN 5 WHEN n % 2 = 0 THEN 3 ELSE 4 END AS words, stem || CASE WHEN n % 3 <> 0 OR long OR n % 2 = 0 THEN '.cpp' ELSE '.C++' END AS file FROM e)
-        SELECT file, arg_max(tokens, {'n': words, 'o': -o}) AS tokens FROM t WHERE k % 3 = 0 OR (file LIKE '%.cpp' AND k IN (SELECT p_partkey FROM part WHERE p_size <= 25)) GROUP BY file""",
+        SELECT file, arg_max(tokens, {'n': words, 'o': -o}) AS tokens FROM t WHERE k % 3 = 0 OR (file LIKE '%.cpp' AND k IN (SELECT p_partkey FROM part WHERE p_size <= 25)) GROUP BY file
+        UNION ALL SELECT NULL, 'cc|-v|-DS' || s_suppkey FROM supplier""",
     "include_directories": """
         WITH e AS (SELECT l_suppkey AS project, l_orderkey * 10 + l_linenumber AS o, unnest([{'p': 0, 'd': '/inc/p' || l_partkey}, {'p': 2, 'd': '/inc/l' || l_linenumber}, {'p': 3, 'd': '/inc/p' || l_linenumber}]) AS u FROM lineitem),
         f AS (SELECT project, u.d AS directory, min({'o': o, 'p': u.p}) AS first FROM e WHERE u.d IN (SELECT '/inc/p' || p_partkey FROM part WHERE p_size <= 25 UNION ALL SELECT '/inc/l' || p_size % 5 FROM part) GROUP BY ALL)

@@ -15,7 +15,7 @@ from depweave.operators import payload as P
 from depweave.operators import rollup as R
 from depweave.plans.numbering import numbered
 from depweave.plans.staging import stage
-from depweave.sources.workspace import Workspace
+from depweave.sources.workspace import StagedWorkspace, Workspace
 
 
 def project_scc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,21 +161,21 @@ def topological_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def project_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _project_weights(Workspace(spark, sf_dir)).select("a", "b", F.col("weight").cast("double").alias("weight"))
+    return _project_weights(StagedWorkspace(spark, sf_dir)).select("a", "b", F.col("weight").cast("double").alias("weight"))
 
 
 def document_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Workspace(spark, sf_dir)
+    w = StagedWorkspace(spark, sf_dir)
     owners = w.documents.select(F.col("document_id").alias("node"), F.col("document_id").alias("owner")).unionByName(w.symbols.select(F.col("symbol_id").alias("node"), F.col("document_id").alias("owner")))
     return R.rolled_up(payload_edges(w), owners, R.DOCUMENT).select("a", "b", F.col("weight").cast("double").alias("weight"))
 
 
 def symbol_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.symbol_adjacency(payload_edges(Workspace(spark, sf_dir))).select("a", "b", F.col("weight").cast("double").alias("weight"))
+    return R.symbol_adjacency(payload_edges(StagedWorkspace(spark, sf_dir))).select("a", "b", F.col("weight").cast("double").alias("weight"))
 
 
 def node_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.importance(_project_weights(Workspace(spark, sf_dir))).select("node", F.col("importance").cast("double").alias("importance"))
+    return R.importance(_project_weights(StagedWorkspace(spark, sf_dir))).select("node", F.col("importance").cast("double").alias("importance"))
 
 
 def in_out_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +184,7 @@ def in_out_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Workspace(spark, sf_dir)
+    w = StagedWorkspace(spark, sf_dir)
     owners = w.documents.select(F.col("document_id").alias("node"), F.col("document_id").alias("owner")).unionByName(w.symbols.select(F.col("symbol_id").alias("node"), F.col("document_id").alias("owner")))
     found = R.document_importance(R.rolled_up(payload_edges(w), owners, R.DOCUMENT), w.symbols)
     return found.select("node", F.col("importance").cast("double").alias("importance"))

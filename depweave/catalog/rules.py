@@ -258,8 +258,6 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _SPELLED = "sp AS (SELECT l_suppkey, CASE WHEN l_returnflag = 'A' THEN upper(p_brand) ELSE p_brand END AS name, p_name, l_orderkey * 10 + l_linenumber AS o FROM lineitem JOIN part ON l_partkey = p_partkey)"
-_STEP = lambda n, steps: "CASE " + " ".join(f"WHEN {n} <= {m} THEN {v}" for m, v in steps[:-1]) + f" ELSE {steps[-1][1]} END"
-_OWN = lambda most, sql: f"CASE WHEN n <= {most} THEN greatest(1, n) ELSE {sql} END"
 _FIRST = "JOIN (SELECT l_partkey, min(l_suppkey) AS s FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey"
 _GROUP_RANK = "CASE grp " + " ".join(f"WHEN '{g}' THEN {i}" for i, g in enumerate(A.GROUPS)) + " ELSE 6 END"
 
@@ -310,11 +308,17 @@ ORACLES = {
         UNION ALL SELECT id, CAST(c.x + i // r * cell + cell / 2 AS DOUBLE), CAST(c.y + i % r * 46 + 23 AS DOUBLE) FROM o JOIN z USING (symbol_kind) JOIN c USING (k) WHERE o.g = 'symbol'""", GRAPH, recursive=True)
         # The first section wraps only where it is wider than the whole canvas, and then no higher: the row above is empty.
         .replace("CAST(32 AS DOUBLE) AS y", "CASE WHEN wide > 2 * half THEN 128.0 ELSE 32.0 END::DOUBLE AS y"),
-    "step_functions": f"""
-        SELECT l_partkey, n, CAST({_OWN(6, _STEP('n', A.SECTION_ROWS))} AS BIGINT) AS section_rows, CAST({_STEP('n', A.SYMBOL_COLUMNS)} AS BIGINT) AS symbol_columns, CAST({_OWN(4, _STEP('n', A.SEED_COLUMNS))} AS BIGINT) AS seed_columns,
-               CAST({_OWN(4, _STEP('n', A.EXTERNAL_COLUMNS))} AS BIGINT) AS external_columns, CAST(CASE WHEN n BETWEEN 11 AND 20 AND widest * 5 > 220 THEN 3 ELSE {_STEP('n', A.DOCUMENT_COLUMNS)} END AS BIGINT) AS document_columns,
-               CAST({_STEP('n', A.DOCUMENT_COLUMNS_WITH_SYMBOLS)} AS BIGINT) AS document_columns_with_symbols, CAST({_STEP('n * 40', A.PADDING)} AS DOUBLE) AS padding, CAST({_STEP('n * 30', A.ZOOM)} AS DOUBLE) AS zoom,
-               CAST({_STEP('n * 70', A.ZOOM_WITH_SYMBOLS)} AS DOUBLE) AS zoom_with_symbols FROM (SELECT l_partkey, count(*) AS n, max(l_quantity) AS widest FROM lineitem GROUP BY l_partkey)""",
+    "step_functions": """
+        SELECT l_partkey, n, CAST(CASE WHEN n <= 6 THEN greatest(1, n) WHEN n <= 24 THEN 6 WHEN n <= 96 THEN 10 ELSE 14 END AS BIGINT) AS section_rows,
+               CAST(CASE WHEN n <= 10 THEN 1 WHEN n <= 28 THEN 2 WHEN n <= 54 THEN 3 ELSE 4 END AS BIGINT) AS symbol_columns,
+               CAST(CASE WHEN n <= 4 THEN greatest(1, n) WHEN n <= 10 THEN 2 WHEN n <= 24 THEN 3 ELSE 4 END AS BIGINT) AS seed_columns,
+               CAST(CASE WHEN n <= 4 THEN greatest(1, n) WHEN n <= 12 THEN 4 WHEN n <= 24 THEN 5 ELSE 6 END AS BIGINT) AS external_columns,
+               CAST(CASE WHEN n BETWEEN 11 AND 20 AND widest * 5 > 220 THEN 3 WHEN n <= 4 THEN 1 WHEN n <= 10 THEN 2 WHEN n <= 20 THEN 4 WHEN n <= 40 THEN 5 ELSE 6 END AS BIGINT) AS document_columns,
+               CAST(CASE WHEN n <= 4 THEN 1 WHEN n <= 10 THEN 2 WHEN n <= 20 THEN 3 WHEN n <= 40 THEN 4 ELSE 5 END AS BIGINT) AS document_columns_with_symbols,
+               CAST(CASE WHEN n * 40 <= 499 THEN 56 WHEN n * 40 <= 1399 THEN 84 ELSE 120 END AS DOUBLE) AS padding,
+               CAST(CASE WHEN n * 30 <= 71 THEN 1 WHEN n * 30 <= 399 THEN 0.72 WHEN n * 30 <= 1199 THEN 0.52 ELSE 0.32 END AS DOUBLE) AS zoom,
+               CAST(CASE WHEN n * 70 <= 279 THEN 0.64 WHEN n * 70 <= 899 THEN 0.42 WHEN n * 70 <= 1799 THEN 0.24 WHEN n * 70 <= 2999 THEN 0.16 ELSE 0.12 END AS DOUBLE) AS zoom_with_symbols
+        FROM (SELECT l_partkey, count(*) AS n, max(l_quantity) AS widest FROM lineitem GROUP BY l_partkey)""",
     "symbol_keys": "SELECT p_partkey, 'cpp|' || p_brand || '|/src/' || p_type || '.cpp|' || p_size || '|FunctionDeclaration|' || p_name AS cpp_key, p_brand || '|' || p_type || '|' || p_name AS managed_key FROM part",
     "display_names": """
         SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_name || '.cs' ELSE c_mktsegment END AS file_name,

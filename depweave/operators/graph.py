@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from depweave.operators.components import connected_components
 from depweave.plans.beside import beside
 from depweave.plans.loops import until_settled
-from depweave.plans.numbering import numbered
+from depweave.plans.carry import KEY_ROWS
+from depweave.plans.numbering import largest_key, numbered, places
 from depweave.plans.staging import stage, unstage
 
 #: Kinds of edges that are dependencies; all but containment.
@@ -220,6 +221,23 @@ def ownership(nodes: DataFrame, contains: DataFrame) -> DataFrame:
     return of.join(upper, "document", "left").select("node", "document", F.coalesce("project", "above").alias("project"))
 
 
+def ownership_graph(nodes: DataFrame, contains: DataFrame, shown: DataFrame, projects: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The visible context of nodes (``node, group``): rows ``node`` and rows ``source, target, kind`` of containment edges.
+
+    A symbol brings the documents that contain it and, if projects are shown, their projects; a
+    document its projects. Containers and edges count where they are shown: ``shown`` has the nodes
+    (``node``), ``contains`` the edges (``source, target, kind``) that are not hidden.
+    """
+    to = contains.select("source", "target", "kind").distinct().join(shown.select(F.col("node").alias("source")).distinct(), "source", "left_semi")
+    within = lambda kind: to.where(F.col("kind") == kind).select("source", "target", "kind")
+    of = lambda group: nodes.where(F.col("group") == group).select(F.col("node").alias("target")).distinct()
+    edges = within("contains-symbol").join(of("symbol"), "target", "left_semi").select("source", "target", "kind")
+    if projects:
+        documents = edges.select(F.col("source").alias("target")).unionByName(of("document")).distinct()
+        edges = edges.unionByName(within("contains-document").join(documents, "target", "left_semi").select("source", "target", "kind"))
+    return edges.select(F.col("source").alias("node")).distinct(), edges
+
+
 def metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: visible nodes and edges, symbols, isolated nodes, components, the largest component, mean degree."""
     parts = connected_components(edges, "source", "target")
@@ -290,14 +308,18 @@ def layers(nodes: DataFrame, edges: DataFrame, members: DataFrame, label: str =
     return out
 
 
-def order_layers(placed: DataFrame, weights: DataFrame, sweeps: int = 3) -> DataFrame:
+def order_layers(placed: DataFrame, weights: DataFrame, sweeps: int = 3, key_rows: int = KEY_ROWS) -> DataFrame:
     """``node, layer, seat``: nodes of a layer by the weighted mean seat of their neighbours in the layer before, then in the one after, in turn.
 
-    Nodes without such neighbours come last; ties by label. ``weights``: ``a, b, weight``.
+    Nodes without such neighbours come last; ties by label. ``weights``: ``a, b, weight``. Layers
+    wider than ``key_rows`` are seated by ranges of their order, so that no layer is one task.
     """
-    by_label = Window.partitionBy("layer").orderBy(F.lower("label"), "label", "node")
-    now = placed.withColumn("seat", F.row_number().over(by_label))
+    widest = largest_key(placed, ["layer"])
+    seat = lambda df, order: places(df, ["layer"], order, "seat", "_n", widest, key_rows).drop("_n")
+    by_label = [F.lower("label"), F.col("label"), F.col("node")]
+    now = stage(seat(placed, by_label), "seats")
     both = weights.select("a", "b", "weight").unionByName(weights.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+    both = stage(both, "weights")
     for sweep in range(2 * sweeps):
         side = -1 if sweep % 2 == 0 else 1
         near = (
@@ -305,6 +327,8 @@ def order_layers(placed: DataFrame, weights: DataFrame, sweeps: int = 3) -> Data
             .join(now.select(F.col("node").alias("b"), (F.col("layer") - side).alias("layer"), "seat"), ["b", "layer"])
             .groupBy(F.col("a").alias("node")).agg((F.sum(F.col("weight") * F.col("seat")) / F.sum("weight")).alias("mean"))
         )
-        order = Window.partitionBy("layer").orderBy(F.asc_nulls_last("mean"), F.lower("label"), "label", "node")
-        now = stage(now.drop("seat").join(near, "node", "left").withColumn("seat", F.row_number().over(order)).drop("mean"), "seats")
+        new = stage(seat(now.drop("seat").join(near, "node", "left"), [F.asc_nulls_last("mean"), *by_label]).drop("mean"), "seats")
+        unstage(now)
+        now = new
+    unstage(both)
     return now.select("node", "layer", "seat")

@@ -78,6 +78,7 @@ def project_references(documents: DataFrame, key: str, xml: str = "text") -> Dat
     return rows.groupBy(key, ci("target").alias("u")).agg(F.min_by(F.struct("target", "label"), F.struct(ci("label").alias("l"), "label", "target")).alias("r")).select(key, "r.target", "r.label")
 
 
+#: How properties and metadata are written.
 _PROPERTY = re.compile(r"\$\(([^)]+)\)")
 _METADATA = re.compile(r"%\([^)]+\)")
 
@@ -201,7 +202,7 @@ def command_tokens(command: Column) -> Column:
 
 
 def compile_commands(entries: DataFrame) -> DataFrame:
-    """``file, tokens``: of each source the entry with the most words, the first of equals.
+    """``file, tokens``: of each source the entry with the most words, the first of equals; and every entry of an unknown source, with a null file.
 
     ``entries``: ``file, arguments, command, ordinal``; without a file, the last word with the ending of a C++ file is it.
     """
@@ -209,16 +210,17 @@ def compile_commands(entries: DataFrame) -> DataFrame:
     tokens = F.when(F.size(blank) > 0, blank).otherwise(command_tokens(F.coalesce("command", F.lit(""))))
     rows = entries.withColumn("tokens", tokens)
     sources = F.filter("tokens", lambda t: F.rlike(F.lower(t), F.lit(rf"\.({'|'.join(map(re.escape, CPP_ENDINGS))})$")))
-    rows = rows.withColumn("file", F.coalesce(F.nullif(F.trim("file"), F.lit("")), F.try_element_at(sources, F.lit(-1)))).where("file is not null")
-    return rows.groupBy("file").agg(F.max_by("tokens", F.struct(F.size("tokens").alias("n"), (-F.col("ordinal")).alias("o"))).alias("tokens"))
+    rows = rows.withColumn("file", F.coalesce(F.nullif(F.trim("file"), F.lit("")), F.try_element_at(sources, F.lit(-1))))
+    known = rows.where("file is not null").groupBy("file").agg(F.max_by("tokens", F.struct(F.size("tokens").alias("n"), (-F.col("ordinal")).alias("o"))).alias("tokens"))
+    return known.unionByName(rows.where("file is null").select("file", "tokens"))
 
 
 def relevant_commands(commands: DataFrame, files: DataFrame, directory: str) -> DataFrame:
-    """Those of the commands whose ``file`` is one of the project's files (``path``), or lies below its directory; whatever the case."""
+    """Those of the commands whose ``file`` is unknown, is one of the project's files (``path``), or lies below its directory; whatever the case."""
     below = F.startswith(ci("file"), F.lit(directory.upper().rstrip("/") + "/"))
     mine = files.select(ci("path").alias("_u"), F.lit(True).alias("_mine")).distinct()
     found = commands.withColumn("_u", ci("file")).join(mine, "_u", "left")
-    return found.where(below | F.col("_mine")).select(*commands.columns)
+    return found.where(F.col("file").isNull() | below | F.col("_mine")).select(*commands.columns)
 
 
 def include_directories(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:

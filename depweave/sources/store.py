@@ -70,7 +70,11 @@ class SnapshotStore:
         self._fs.delete(self._to_path(f"{self.path}/{name}"), True)
 
     def _read(self, name: str) -> str:
-        return self.spark.read.text(f"{self.path}/{name}", wholetext=True).first()[0]
+        stream = self._fs.open(self._to_path(f"{self.path}/{name}"))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
     def _create(self, name: str, said: str) -> bool:
         """Writes a small file that must not exist; False if it does."""

@@ -82,3 +82,36 @@ def test_layout_choice_and_mode(spark):
         assert rows(G.layout_choice(spark.createDataFrame([values], m))) == [(name,)]
     assert rows(G.performance_mode(spark.createDataFrame([(900, 0, 0, 0, 0, 0.0)], m))) == [("large",)]
     assert rows(G.performance_mode(spark.createDataFrame([(1, 6200, 0, 0, 0, 0.0)], m))) == [("massive",)]
+
+
+def test_seats_of_random_layers(spark):
+    """Against layers that are seated one after the other, and by ranges as by windows."""
+    rng = random.Random(12)
+    placed = [(f"n{k}", rng.choice(["a", "B", "b", "c", f"x{k}"]), k % 4) for k in range(60)]
+    weights = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}", rng.randrange(1, 9)) for _ in range(150)]
+    layer = {n: l for n, _, l in placed}
+    both = {}
+    for a, b, w in weights:
+        both[a, b] = both.get((a, b), 0) + w
+        both[b, a] = both.get((b, a), 0) + w
+
+    def seated(key):
+        out = {}
+        for l in range(4):
+            for seat, (n, _, _) in enumerate(sorted((p for p in placed if p[2] == l), key=lambda p: (*key(p), p[1].lower(), p[1], p[0])), 1):
+                out[n] = seat
+        return out
+
+    now = seated(lambda p: ())
+    for sweep in range(6):
+        side = -1 if sweep % 2 == 0 else 1
+
+        def mean(p, now=now, side=side):
+            near = [(w, now[b]) for (a, b), w in both.items() if a == p[0] and layer[b] == p[2] + side]
+            return (not near, sum(w * s for w, s in near) / sum(w for w, _ in near) if near else 0)
+
+        now = seated(mean)
+    df = spark.createDataFrame(placed, "node string, label string, layer int").repartition(3)
+    pairs = spark.createDataFrame(weights, "a string, b string, weight int")
+    for key_rows in (1000, 5):
+        assert {r["node"]: r["seat"] for r in G.order_layers(df, pairs, key_rows=key_rows).collect()} == now

@@ -1,8 +1,11 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from depweave.sources import cpp as C
 from depweave.sources import projects as J
+from depweave.sources import view_state as V
 from depweave.sources.store import KEEP, SnapshotStore, hydrated
 from depweave.streaming.history import edge_counts, recorded
 from tests.conftest import rows
@@ -146,3 +149,72 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["n"] for r in spark.table("counts").collect()] == [2]
+
+
+def test_view_states(spark):
+    said = """{"dependencyMapDirection": "invalid", "panelWidth": -10, "mobilePanelHeight": 99999, "other": 1,
+        "pinnedNodes": [{"nodeId": " node-a ", "x": 1, "y": 2}, {"nodeId": "node-a", "x": 3, "y": 4}, {"nodeId": "node-b", "x": NaN, "y": 10}, {"x": 1, "y": 1}],
+        "hiddenNodes": [{"nodeId": " ", "label": "ignored"}, {"nodeId": "node-x", "label": " ", "group": "  "}, {"nodeId": "node-x", "label": "Node X", "group": "document"}, {"nodeId": "z", "label": "a"}, {"nodeId": "Q"}]}"""
+    df = V.imported(spark.createDataFrame([(1, said), (2, None), (3, "no json"), (4, "{}")], "id int, json string"))
+    got = {r["id"]: r["state"] for r in df.collect()}
+    s = got[1]
+    assert (s["dependencyMapDirection"], s["panelWidth"], s["mobilePanelHeight"], s["includeSymbols"], s["includeProjects"]) == ("both", 320, 1600, False, True)
+    assert [tuple(n) for n in s["pinnedNodes"]] == [("node-a", 3.0, 4.0)]
+    assert [tuple(n) for n in s["hiddenNodes"]] == [("z", "a", ""), ("node-x", "Node X", "document"), ("Q", "Q", "")]
+    assert got[2] == got[3] == got[4] and got[2]["pinnedNodes"] == [] and got[2]["panelWidth"] == 320
+    again = V.imported(V.exported(df), out="back")
+    assert again.where(V.changed("state", "back")).count() == 0
+    other = again.withColumn("back", F.col("back").withField("includeSymbols", F.lit(True)))
+    assert other.where(V.changed("state", "back")).count() == 4
+
+
+def test_heads_of_several_lines(spark):
+    text = """namespace N {
+class D :
+  public E, // the first
+  protected A::F
+{
+  void run(G* g);
+};
+struct One : Two {};
+enum class H : int { x };
+using T = U<W>;
+class Long :
+  public L1,
+
+  public L2,
+  public L3,
+  public L4,
+  public L5,
+  public TooFar
+{};
+}"""
+    docs = spark.createDataFrame([("d", text), ("e", None), ("f", "class Open :")], "document_id string, text string")
+    found = C.facts(docs, "declaration_references")
+    assert rows(found.where("qualified_name = 'N::D'"), "token", "reference_kind", "namespace_scope") == [("A::F", "inheritance", "N"), ("E", "inheritance", "N")]
+    assert rows(found.where("name = 'run'"), "token", "reference_kind") == [("G", "reference"), ("g", "reference")]
+    assert rows(found.where("name in ('One', 'H', 'T')"), "name", "token", "reference_kind") == [("One", "Two", "inheritance"), ("T", "U", "reference"), ("T", "W", "reference")]
+    # Eight lines, blank ones among them, belong to a head.
+    assert rows(found.where("name = 'Long'"), "token") == [("L1",), ("L2",), ("L3",), ("L4",), ("L5",), ("TooFar",)] and found.where("document_id <> 'd'").count() == 0
+    further = spark.createDataFrame([("d", text.replace("L2,", "L2,\n"))], "document_id string, text string")
+    assert "TooFar" not in [r["token"] for r in C.facts(further, "declaration_references").where("name = 'Long'").collect()]
+
+
+def test_a_document_of_many_scopes(spark):
+    """Scopes over buckets of lines find what a stack finds."""
+    rng, lines, stack, want = random.Random(1), [], [], []
+    for k in range(2500):
+        if stack and rng.random() < 0.4:
+            lines.append("}" if stack.pop()[1] == "n" else "};")
+        elif len(stack) < 6 and rng.random() < 0.4:
+            kind = rng.choice("nc")
+            name = f"s{k}"
+            if kind == "c":
+                want.append((len(lines) + 1, "::".join([n for n, _ in stack] + [name])))
+            lines.append(f"namespace {name} {{" if kind == "n" else f"struct {name} {{")
+            stack.append((name, kind))
+        else:
+            lines.append(f"void f{k}();")
+            want.append((len(lines), "::".join([n for n, _ in stack] + [f"f{k}"])))
+    docs = spark.createDataFrame([("d", "\n".join(lines))], "document_id string, text string")
+    assert sorted((r["line"], r["qualified_name"]) for r in C.facts(docs, "declarations").collect()) == want
