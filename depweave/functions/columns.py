@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,3 +25,14 @@ def ci(x: ColumnOrName) -> Column:
     A sharp s has no upper case of one letter and stays.
     """
     return F.translate(F.upper(F.translate(col(x), "ß", "\u0001")), "\u0001", "ß")
+
+
+def struct_udf(each: Callable[[list], list[list]], fields: list[tuple[str, pa.DataType]], ddl: str) -> Callable[[Column], Column]:
+    """A column function: ``each`` maps the values of a batch to a list for each field. It is never computed twice."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for values in batches:
+            yield pa.StructArray.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(each(values.to_pylist()), fields, strict=True)], names=[n for n, _ in fields])
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, ddl).asNondeterministic()

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from depweave.functions.columns import ci
+from depweave.functions.columns import ci, struct_udf
 from depweave.functions.ids import ignored_directory
 from depweave.plans.numbering import numbered
 from depweave.plans.staging import stage
@@ -183,6 +183,75 @@ def import_closure(roots: DataFrame, imports: DataFrame) -> DataFrame:
         seen = seen.unionByName(front)
 
 
+_STATEMENTS = "array<struct<place:long,pos:int,kind:string,name:string,value:string,conditions:array<string>>>"
+_MAP = pa.map_(pa.string(), pa.string())
+
+
+def load_level(state: dict[str, str], statements: list[dict], environment: dict[str, str]) -> tuple[dict[str, str], list[str]]:
+    """What one level of files makes of a project's properties, and the targets of its imports in order.
+
+    ``statements`` come in the order of files and, within a file, of the document. A file's properties
+    are set first, each expanded with what is set so far; then its imports are looked at. Both count
+    only where all their conditions hold. Blank values, and those in which a ``$(`` is left, set nothing.
+    """
+    state, targets = dict(state), []
+    for place in sorted({s["place"] for s in statements}):
+        here = sorted((s for s in statements if s["place"] == place), key=lambda s: s["pos"])
+        for kind in ("property", "import"):
+            for s in here:
+                known = environment | state
+                if s["kind"] != kind or not all(holds(c, known) for c in s["conditions"] or []):
+                    continue
+                value = expand((s["value"] or "").strip(), known).strip()
+                if kind == "import" and value and not set(value) & {"*", "?"}:
+                    targets.append(value)
+                elif kind == "property" and value and "$(" not in value and (s["name"] or "").strip():
+                    state[s["name"].strip().upper()] = value
+    return state, targets
+
+
+def loaded_properties(roots: DataFrame, statements: DataFrame, environment: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows ``project, file, place`` of the files that each project loads, in their order, and rows ``project, name, value`` of the properties at the end, names in upper case.
+
+    ``roots``: ``project, file``; ``statements``: ``file, pos, kind`` (property or import)``, name,
+    value, conditions`` (an array: those of the element and all around it). Files are loaded breadth
+    first: what a file imports comes behind all files that wait already, each file once, whatever the
+    case of its path; files without statements load nothing. A value can so override one of a file
+    before it, and conditions see what is set at that point. ``environment`` has values of names that
+    no property has.
+
+    A round loads one level of all projects: a join with the statements, and a fold over a project's
+    files of that level, which are one row.
+    """
+    known = {k.upper(): v for k, v in (environment or {}).items()}
+    rows = stage(statements.select(ci("file").alias("u"), "pos", "kind", "name", "value", "conditions"), "statements")
+    there = stage(rows.select("u").distinct(), "there")
+
+    def fold(values: list[dict]) -> list[list]:
+        done = [load_level({k.upper(): v for k, v in v_["state"] or []}, v_["statements"], known) for v_ in values]
+        return [[list(state.items()) for state, _ in done], [targets for _, targets in done]]
+
+    run = struct_udf(fold, [("state", _MAP), ("targets", pa.list_(pa.string()))], "state map<string,string>, targets array<string>")
+    first = roots.groupBy("project").agg(F.min("file").alias("file")).withColumn("place", F.lit(0).cast("long"))
+    front = stage(first, "front")
+    loaded = front
+    state = stage(first.select("project", F.create_map().cast("map<string,string>").alias("state")), "state")
+    while True:
+        said = front.select("project", "place", ci("file").alias("u")).join(rows, "u").groupBy("project").agg(F.collect_list(F.struct("place", "pos", "kind", "name", "value", "conditions")).cast(_STATEMENTS).alias("statements"))
+        new = stage(said.join(state, "project").select("project", run(F.struct("state", "statements")).alias("r")).select("project", "r.*"), "level")
+        kept = state.join(new.select("project"), "project", "left_anti")
+        state = stage(kept.unionByName(new.select("project", "state")), "state")
+        each = new.select("project", F.posexplode("targets").alias("i", "file")).withColumn("u", ci("file"))
+        fresh = each.join(there, "u", "left_semi").join(loaded.select("project", ci("file").alias("u")), ["project", "u"], "left_anti")
+        fresh = fresh.groupBy("project", "u").agg(F.min(F.struct("i", "file")).alias("f"))
+        order = F.row_number().over(Window.partitionBy("project").orderBy("f.i"))  # files of one level of a project
+        last = loaded.groupBy("project").agg(F.max("place").alias("last"))
+        front = stage(fresh.withColumn("n", order).join(last, "project").select("project", F.col("f.file").alias("file"), (F.col("last") + F.col("n")).alias("place")), "front")
+        if not front.limit(1).count():
+            return loaded, state.select("project", F.explode("state").alias("name", "value"))
+        loaded = stage(loaded.unionByName(front), "loaded")
+
+
 def chosen_configuration(candidates: DataFrame, wanted_configuration: str = "", wanted_platform: str = "") -> DataFrame:
     """``project, configuration, platform``: the best of each project; ties by name.
 

@@ -218,3 +218,19 @@ def test_a_document_of_many_scopes(spark):
             want.append((len(lines), "::".join([n for n, _ in stack] + [f"f{k}"])))
     docs = spark.createDataFrame([("d", "\n".join(lines))], "document_id string, text string")
     assert sorted((r["line"], r["qualified_name"]) for r in C.facts(docs, "declarations").collect()) == want
+
+
+def test_properties_in_load_order(spark):
+    """A later import overrides an earlier value; conditions see what is set at that point; files load breadth first."""
+    given = "file string, pos int, kind string, name string, value string, conditions array<string>"
+    data = [
+        ("root", 3, "import", None, "a.props", None), ("root", 1, "property", "X", "1", []), ("root", 4, "import", None, "$(Which).props", ["'$(X)' == '1'"]), ("root", 2, "property", "Which", "b", []), ("root", 5, "import", None, "c*.props", []),
+        ("A.props", 1, "property", "x", "2", []), ("A.props", 2, "import", None, "deep.props", ["'$(X)' == '2'"]), ("A.props", 3, "import", None, "root", []), ("A.props", 4, "import", None, "never.props", ["'$(X)' == '3'"]),
+        ("b.props", 1, "property", "X", "$(x)3", ["$(X) &lt; 1", ""]), ("b.props", 2, "property", "Y", "$(X)/$(None)y", []), ("b.props", 3, "property", "X", " ", []),
+        ("deep.props", 1, "property", "X", "4", ["'$(Y)' != ''"]), ("deep.props", 2, "import", None, "B.PROPS", []), ("never.props", 1, "property", "X", "9", []), ("other", 1, "property", "Z", "$(env)", []),
+    ]
+    data[9] = ("b.props", 1, "property", "X", "$(x)3", ["'$(X)' == '1'"])  # a.props has set it to 2 by then
+    roots = spark.createDataFrame([("p", "root"), ("q", "other"), ("none", "gone")], "project string, file string")
+    files, properties = J.loaded_properties(roots, spark.createDataFrame(data, given).repartition(3), {"ENV": "e"})
+    assert [(r["project"], r["file"]) for r in files.orderBy("project", "place").collect()] == [("none", "gone"), ("p", "root"), ("p", "a.props"), ("p", "b.props"), ("p", "deep.props"), ("q", "other")]
+    assert rows(properties, "project", "name", "value") == [("p", "WHICH", "b"), ("p", "X", "4"), ("p", "Y", "2/y"), ("q", "Z", "e")]
