@@ -341,9 +341,10 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     missing or repeated.
     """
     sigs = stage(signed(docs, key, text), "signed")
-    # The number is staged with the row, so it is fixed whatever is lost later.
-    firsts = sigs.where("same is not null").groupBy("same", "bands").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id())
-    firsts = stage(firsts, "firsts")
+    # Numbers go by the least id of a text, so leaders are the earliest, of which others are copies. They are staged, so they are fixed whatever is lost later.
+    firsts = sigs.where("same is not null").groupBy("same", "bands").agg(F.min("id").alias("least"))
+    order = F.col("least").asc_nulls_last()
+    firsts = stage(firsts.repartitionByRange(order).sortWithinPartitions(order).withColumn("node", F.monotonically_increasing_id()), "firsts")
     scratch: list[DataFrame] = [sigs, firsts]  # staged tables that are read no more once the classes are known
     members = stage(buckets(firsts.where("size(bands) > 0").select(F.col("node").alias("id"), "bands"), scratch), "members")
     texts = member_texts(docs, members, firsts, scratch, key, text)
