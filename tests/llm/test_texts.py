@@ -239,6 +239,40 @@ def test_wrapper_decides_without_names_or_articles(spark):
         assert got[i] == want, (i, got[i])
 
 
+@pytest.mark.parametrize("fan", [64, 2])
+def test_wrapper_has_all_layouts_and_pages(spark, monkeypatch, fan):
+    """Nine layouts of a host, each with its own template, and one whose template is on few more than half of its pages."""
+    monkeypatch.setattr(wrappers, "FAN", fan)
+    page = lambda x, i: f"<body><div class='k{x}'>Welcome to {x}</div><div class='zz'>Fine things</div><div class='m{x}'><h2>head {x} {i}</h2><p>story {x} {i}</p></div><section class='e{x}'>Rules of {x}</section></body>"
+    seldom = lambda i: f"<body><div class='zz'>Fine things</div><ol><li>line {i}</ol><div class='w'>{'Note to all' if i < 11 else f'own words {i}'}</div><table><tr><td>cell {i}</table></body>"
+    data = [(100 * n + i, f"http://many.example/{x}/{i}", page(x, i), f"head {x} {i}\nstory {x} {i}") for n, x in enumerate("abcdefghi") for i in range(8)]
+    data += [(1000 + i, f"http://many.example/{i}", seldom(i), f"line {i}\ncell {i}" if i < 11 else f"line {i}\nown words {i}\ncell {i}") for i in range(20)]
+    data += [(2000 + i, f"http://many.example/own{i}", f"<body><main class='u{chr(97 + i)}'>single {i}</main></body>", f"single {i}") for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(data, "page_id long, url string, html string, want string")).collect()}
+    assert got == {i: want for i, _, _, want in data}
+
+
+def test_trees_are_pruned_to_what_can_be_template():
+    pages = [f"<body><div class='top'>Hello</div><div class='u{x}'>{x}<p>{x}</p></div><div class='low'><p>text {x}</p></div></body>" for x in "abcdef"]
+    read = [wrappers.outline(p) for p in pages]
+    often = {k for k in read[0][2] if all(k in keys for _, _, keys in read)}
+    assert len({wrappers.prune(tree, often) for _, tree, _ in read}) == 1
+    assert wrappers.prune(read[0][1], []) is None and wrappers.induce(pages[:1]) is None
+    found = wrappers.induce(pages)
+    assert [s.label for s in wrappers._loaded(found).kids[0].kids] == ["div class=top", "div class=low"]
+    assert [t for n, t in wrappers.alike(read[0][1], found) if t] == [wrappers._hash("Hello")]
+
+
+def test_large_trees_of_single_labels_are_matched_by_weight():
+    """600 slots each: of labels that cross, the heavier subtree is kept."""
+    slot = lambda label, *kids: wrappers.Slot(label, list(kids))
+    many, few = [slot(f"k{i}") for i in range(590)], [slot(f"s{i}") for i in range(3)]
+    a = slot("r", *few, slot("x", *many))
+    b = slot("r", slot("x", *[slot(f"k{i}") for i in range(590)]), *[slot(f"s{i}") for i in range(3)])
+    size, pairs = wrappers.match(a, b)
+    assert size == len(pairs) == 592
+
+
 @pytest.mark.parametrize("tag", ["div", "b", "p", "table><tr><td", "ul><li"])
 def test_deep_nesting_passes(tag):
     page = f"<{tag}>" * 100_000 + "text" + "</x>" * 100_000 + "<td>" * 20_000
