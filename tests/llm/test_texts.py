@@ -243,6 +243,7 @@ def test_wrapper_decides_without_names_or_articles(spark):
 def test_wrapper_has_all_layouts_and_pages(spark, monkeypatch, fan):
     """Nine layouts of a host, each with its own template, and one whose template is on few more than half of its pages."""
     monkeypatch.setattr(wrappers, "FAN", fan)
+    monkeypatch.setattr(wrappers, "BROADCAST_BYTES", wrappers.BROADCAST_BYTES if fan == 64 else -1)
     page = lambda x, i: f"<body><div class='k{x}'>Welcome to {x}</div><div class='zz'>Fine things</div><div class='m{x}'><h2>head {x} {i}</h2><p>story {x} {i}</p></div><section class='e{x}'>Rules of {x}</section></body>"
     seldom = lambda i: f"<body><div class='zz'>Fine things</div><ol><li>line {i}</ol><div class='w'>{'Note to all' if i < 11 else f'own words {i}'}</div><table><tr><td>cell {i}</table></body>"
     data = [(100 * n + i, f"http://many.example/{x}/{i}", page(x, i), f"head {x} {i}\nstory {x} {i}") for n, x in enumerate("abcdefghi") for i in range(8)]
@@ -260,7 +261,7 @@ def test_trees_are_pruned_to_what_can_be_template():
     assert wrappers.prune(read[0][1], []) is None and wrappers.induce(pages[:1]) is None
     found = wrappers.induce(pages)
     assert [s.label for s in wrappers._loaded(found).kids[0].kids] == ["div class=top", "div class=low"]
-    assert [t for n, t in wrappers.alike(read[0][1], found) if t] == [wrappers._hash("Hello")]
+    assert [t for _, t, _ in wrappers.alike(read[0][1], wrappers.parts(found)) if t] == [wrappers._hash("Hello")]
 
 
 def test_large_trees_of_single_labels_are_matched_by_weight():
