@@ -290,6 +290,49 @@ def test_wide_trees_are_matched_in_order():
     assert size == len(pairs) == 3001 and all(x.label == y.label for x, y in pairs)
 
 
+def test_repeated_labels_are_matched_by_weight():
+    """Two lists of 600 slots below two labels, of which the second begins 40 earlier: texts tell, not turns; equal lists of labels may be shifted as well."""
+    def slots(first, end):
+        found = wrappers.Slot("r", [wrappers.Slot("xy"[i % 2]) for i in range(first, end)])
+        for i, k in zip(range(first, end), found.kids, strict=True):
+            k.texts[f"text {i}"] += 1
+        return found
+
+    size, pairs = wrappers.match(slots(0, 1200), slots(40, 1200))
+    assert size == 1 + 2 * 1160 and all(x.texts == y.texts for x, y in pairs[1:])
+    size, pairs = wrappers.match(slots(0, 1200), slots(40, 1240))
+    assert size == 1 + 2 * 1160 and len(pairs) == 1161
+
+
+@pytest.mark.parametrize("bounds", [None, (0, 3)])
+def test_tree_matching_is_heaviest(monkeypatch, bounds):
+    """Random trees of few labels and texts against plain dynamic programming, also with few rows and weights kept."""
+    if bounds:
+        monkeypatch.setattr(wrappers, "CELLS", bounds[0])
+        monkeypatch.setattr(wrappers, "KEPT", bounds[1])
+    rng = random.Random(4)
+    own = lambda a, b: 1 if a.texts.keys().isdisjoint(b.texts) else 2
+
+    def tree(depth):
+        slot = wrappers.Slot(rng.choice("xy"), [tree(depth - 1) for _ in range(rng.randrange(5 if depth else 1))])
+        slot.texts.update(rng.sample("abcdef", rng.randrange(3)))
+        return slot
+
+    def plain(a, b):
+        best = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+        for i, x in enumerate(a.kids):
+            for j, y in enumerate(b.kids):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + plain(x, y)) if x.label == y.label else max(best[i][j + 1], best[i + 1][j])
+        return best[-1][-1] + own(a, b)
+
+    for _ in range(300):
+        a, b = tree(3), tree(3)
+        b.label = a.label
+        size, pairs = wrappers.match(a, b)
+        assert size == plain(a, b) == sum(own(x, y) for x, y in pairs) and all(x.label == y.label for x, y in pairs)
+        assert len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)
+
+
 def test_tree_matching():
     slot = lambda label, *kids: wrappers.Slot(label, list(kids))
     a = slot("r", slot("x", slot("y")), slot("z"), slot("w"))
