@@ -23,18 +23,18 @@ def symbol_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Workspace(spark, sf_dir)
-    return E.document_edges(w.observations, w.declarations).select("source", "target", "reference_count")
+    return E.document_edges(w.observations, w.declared, samples=False)
 
 
 def edge_first_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Workspace(spark, sf_dir)
-    return E.document_edges(w.observations, w.declarations).select("source", "target", "sample_file", "sample_line", "sample_snippet")
+    return E.document_edges(w.observations, w.declared).select("source", "target", "sample_file", "sample_line", "sample_snippet")
 
 
 def merge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Workspace(spark, sf_dir)
     odd = F.substring("source_symbol_key", 2, 30).cast("long") % 2
-    return E.document_edges(w.observations, w.declarations, origin=1 - odd)
+    return E.document_edges(w.observations, w.declared, origin=1 - odd)
 
 
 def dominant_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def payload_nodes(w: Workspace) -> DataFrame:
 
 def payload_edges(w: Workspace) -> DataFrame:
     pk = ids.node_id("project", "project_key")
-    docs = E.document_edges(w.observations, w.declarations)
+    docs = E.document_edges(w.observations, w.declared, samples=False)
     syms = E.symbol_edges(w.observations, w.declarations)
     return P.edges(
         P.edge_rows(w.documents, pk, F.col("document_id"), "contains-document"),
@@ -111,7 +111,7 @@ def payload_symbol_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = StagedWorkspace(spark, sf_dir)
-    docs, syms = E.document_edges(w.observations, w.declarations).select("source", "target"), E.symbol_edges(w.observations, w.declarations).select("source", "target")
+    docs, syms = E.document_edges(w.observations, w.declared, samples=False).select("source", "target"), E.symbol_edges(w.observations, w.declarations).select("source", "target")
     docs, syms = stage(docs, "documents"), stage(syms, "symbols")
     found = [G.cycles(edges, G.components_of_cycles(edges), kind) for kind, edges in (("project", w.project_references), ("document", docs), ("symbol", syms))]
     cycles = found[0].unionByName(found[1]).unionByName(found[2])

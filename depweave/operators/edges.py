@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from depweave.functions.columns import blank_to_null, ci
 from depweave.functions.ids import confidence, reference_kind
+from depweave.operators.pairs import counted, places
 
 DOCUMENT_EDGE, SYMBOL_EDGE = ("source", "target"), ("source", "target", "reference_kind", "confidence")
 
@@ -28,19 +29,30 @@ def first_declarations(declarations: DataFrame) -> DataFrame:
     return declarations.groupBy("symbol_key").agg(first.alias("d")).select("symbol_key", "d.symbol_id", "d.document_id")
 
 
-def document_edges(observations: DataFrame, declarations: DataFrame, origin: Column | None = None) -> DataFrame:
-    """``source, target, reference_count`` and sample: an observation counts once for each other document that declares its target.
+def document_edges(observations: DataFrame, declarations: DataFrame, origin: Column | None = None, samples: bool = True) -> DataFrame:
+    """``source, target, reference_count`` and, unless ``samples`` is off, the sample: an observation counts once for each other document that declares its target.
 
     Observations are folded by document and target first, so a target that very many documents
     declare is met once by each observing document. ``origin``: a column of observations; samples
     of the lowest one go before, as if edges of each origin had been merged in that order.
     """
-    order = [F.lit(0) if origin is None else origin, F.col("ordinal")]
+    rows = observations.where("source_document_id is not null and target_symbol_key is not null").repartition("target_symbol_key")
     keys = [F.col("source_document_id").alias("source"), "target_symbol_key"]
-    folded = observations.withColumn("ordinal", F.struct(order[0].alias("origin"), order[1].alias("at"))).groupBy(*keys).agg(F.count("*").alias("n"), *first_sample(), _first_place().alias("ordinal"))
-    places = declarations.select(F.col("symbol_key").alias("target_symbol_key"), F.col("document_id").alias("target")).distinct()
-    pairs = folded.join(places, "target_symbol_key").where("source <> target").withColumnsRenamed({"sample_file": "file", "sample_line": "line", "sample_snippet": "snippet"})
-    return pairs.groupBy(*DOCUMENT_EDGE).agg(F.sum("n").alias("reference_count"), *first_sample())
+    if samples:
+        ordinal = F.struct((F.lit(0) if origin is None else origin).alias("origin"), F.col("ordinal").alias("at"))
+        folded = rows.withColumn("ordinal", ordinal).groupBy(*keys).agg(F.count("*").alias("n"), *first_sample(), _first_place().alias("ordinal"))
+    else:
+        folded = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    folded = folded.withColumnsRenamed({"sample_file": "file", "sample_line": "line", "sample_snippet": "snippet"})
+    pairs = counted(folded, places(declarations), samples=samples).where("source <> target")
+    return pairs.withColumnsRenamed({"file": "sample_file", "line": "sample_line", "snippet": "sample_snippet"})
+
+
+def dominant_kinds(observations: DataFrame, declarations: DataFrame) -> DataFrame:
+    """``source, target, reference_kind, reference_count``: for each pair of documents the most frequent kind, see ``dominant_kind``, and the count of all kinds."""
+    rows = observations.where("target_symbol_key is not null").repartition("target_symbol_key")
+    folded = rows.groupBy(F.col("source_document_id").alias("source"), "target_symbol_key", "reference_kind").agg(F.count("*").alias("n"))
+    return counted(folded, places(declarations), "reference_kind")
 
 
 def _first_place() -> Column:

@@ -37,11 +37,19 @@ class Workspace:
     @property
     def declarations(self) -> DataFrame:
         """``symbol_key, symbol_id, document_id, ordinal``: an order in its customer's document, a part in that of each of its suppliers."""
+        return self._declarations(self.table("lineitem").select("l_partkey", "l_suppkey").distinct())
+
+    @property
+    def declared(self) -> DataFrame:
+        """``declarations`` as they come, some several times; for what tells them apart itself."""
+        return self._declarations(self.table("lineitem").select("l_partkey", "l_suppkey"))
+
+    def _declarations(self, pairs: DataFrame) -> DataFrame:
         o = self.table("orders").select(
             F.concat(F.lit("o"), "o_orderkey").alias("symbol_key"), F.concat(F.lit("symbol:o"), "o_orderkey").alias("symbol_id"),
             F.concat(F.lit("document:c"), "o_custkey").alias("document_id"), F.col("o_orderkey").alias("ordinal"),
         )
-        p = self.table("lineitem").select("l_partkey", "l_suppkey").distinct().select(
+        p = pairs.select(
             F.concat(F.lit("p"), "l_partkey").alias("symbol_key"), F.concat(F.lit("symbol:p"), "l_partkey").alias("symbol_id"),
             F.concat(F.lit("document:s"), "l_suppkey").alias("document_id"), F.col("l_suppkey").alias("ordinal"),
         )
@@ -120,6 +128,7 @@ class StagedWorkspace(Workspace):
     documents = cached_property(lambda self: stage(Workspace.documents.fget(self), "documents"))
     declarations = cached_property(lambda self: stage(Workspace.declarations.fget(self), "declarations"))
     symbols = cached_property(lambda self: stage(Workspace.symbols.fget(self), "symbols"))
+    declared = property(lambda self: self.declarations)
     observations = cached_property(lambda self: stage(Workspace.observations.fget(self), "observations"))
     project_references = cached_property(lambda self: stage(Workspace.project_references.fget(self), "references"))
     packages = cached_property(lambda self: stage(Workspace.packages.fget(self), "packages"))
