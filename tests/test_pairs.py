@@ -81,3 +81,22 @@ def test_no_pair_of_documents_is_shuffled(spark):
     seen, declared = hot(spark)
     found = E.document_edges(seen, declared, samples=False)
     assert found.count() == 2_000_000 and shuffled(spark, found) < 4_000_000
+
+
+def test_first_samples_of_any_ids(spark, parts):
+    seen, declared, (obs, decl) = some(spark)
+    best = {}
+    for s, t, _, at, file, line, text in pairs(seen, declared):
+        file, line, text = file if file and file.strip() else None, line if line and line > 0 else None, text or None
+        if s is None or t is None or s == t or (file, line, text) == (None, None, None):
+            continue
+        rank = tuple((x is not None, x or 0 if not isinstance(x, str) else x) for x in (at, text, file, line))
+        if (s, t) not in best or rank < best[s, t][0]:
+            best[s, t] = rank, (file, line, text)
+    got = {(r["source"], r["target"]): (r["sample_file"], r["sample_line"], r["sample_snippet"]) for r in E.document_edges(obs, decl).collect()}
+    assert {k for k, v in got.items() if v != (None, None, None)} == set(best) and all(got[k] == v[1] for k, v in best.items())
+
+
+def test_samples_are_not_shuffled_by_pair(spark):
+    found = E.document_edges(*hot(spark))
+    assert found.where("sample_file = 'f' and sample_line = 1").count() == 2_000_000 and shuffled(spark, found) < 6_000_000
