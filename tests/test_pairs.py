@@ -100,3 +100,13 @@ def test_first_samples_of_any_ids(spark, parts):
 def test_samples_are_not_shuffled_by_pair(spark):
     found = E.document_edges(*hot(spark))
     assert found.where("sample_file = 'f' and sample_line = 1").count() == 2_000_000 and shuffled(spark, found) < 6_000_000
+
+
+def test_merged_origins_are_not_shuffled_by_pair(spark, parts):
+    """The first origin's samples go before, whatever their ordinals."""
+    seen, declared, (obs, decl) = some(spark, 5)
+    odd = F.when(F.col("reference_kind") == "use", 0).otherwise(1)
+    both = E.merge_edges(E.document_edges(obs.where("reference_kind = 'use'"), decl), E.document_edges(obs.where("reference_kind is null or reference_kind <> 'use'"), decl))
+    assert rows(E.document_edges(obs, decl, odd)) == rows(both)
+    found = E.document_edges(*hot(spark), origin=F.col("ordinal") % 2)
+    assert found.agg(F.sum("reference_count")).first()[0] == 2_000_000 and shuffled(spark, found) < 6_000_000
