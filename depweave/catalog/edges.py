@@ -39,9 +39,7 @@ def merge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dominant_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Workspace(spark, sf_dir)
-    places = w.declarations.select(F.col("symbol_key").alias("target_symbol_key"), F.col("document_id").alias("target")).distinct()
-    folded = w.observations.groupBy(F.col("source_document_id").alias("source"), "target_symbol_key", "reference_kind").agg(F.count("*").alias("n"))
-    return E.dominant_kind(folded.join(places, "target_symbol_key").select("source", "target", "reference_kind", "n"))
+    return E.dominant_kinds(w.observations, w.declared)
 
 
 def _native(w: Workspace) -> DataFrame:

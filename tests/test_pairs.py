@@ -110,3 +110,13 @@ def test_merged_origins_are_not_shuffled_by_pair(spark, parts):
     assert rows(E.document_edges(obs, decl, odd)) == rows(both)
     found = E.document_edges(*hot(spark), origin=F.col("ordinal") % 2)
     assert found.agg(F.sum("reference_count")).first()[0] == 2_000_000 and shuffled(spark, found) < 6_000_000
+
+
+def test_dominant_kinds_of_any_ids(spark, parts):
+    """As the operator over all pairs has them."""
+    seen, declared, (obs, decl) = some(spark, 7)
+    kinds = spark.createDataFrame([(s, t, kind) for s, t, kind, *_ in pairs(seen, declared)], "source string, target string, reference_kind string")
+    assert rows(E.dominant_kinds(obs, decl)) == rows(E.dominant_kind(kinds), "source", "target", "reference_kind", "reference_count")
+    seen, declared = hot(spark)
+    found = E.dominant_kinds(seen, declared)
+    assert found.count() == 2_000_000 and shuffled(spark, found) < 4_000_000
