@@ -164,10 +164,17 @@ def project_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _project_weights(StagedWorkspace(spark, sf_dir)).select("a", "b", F.col("weight").cast("double").alias("weight"))
 
 
+def _of_documents(w: Workspace) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, dict[str, str]]:
+    """Observations and declarations of known documents, edges between symbols, the documents of these, and what kinds count for."""
+    ids_ = w.documents.select("document_id")
+    syms = E.symbol_edges(w.observations, w.declarations)
+    edges = P.edge_rows(syms, F.col("source"), F.col("target"), ids.symbol_edge_kind("reference_kind"), F.col("reference_count"), "reference_kind", "confidence")
+    owners = w.symbols.select(F.col("symbol_id").alias("node"), F.col("document_id").alias("owner"))
+    return P.among(w.observations, "source_document_id", ids_), P.among(w.declared, "document_id", ids_), edges, owners, R.DOCUMENT
+
+
 def document_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = StagedWorkspace(spark, sf_dir)
-    owners = w.documents.select(F.col("document_id").alias("node"), F.col("document_id").alias("owner")).unionByName(w.symbols.select(F.col("symbol_id").alias("node"), F.col("document_id").alias("owner")))
-    return R.rolled_up(payload_edges(w), owners, R.DOCUMENT).select("a", "b", F.col("weight").cast("double").alias("weight"))
+    return R.rolled_up_documents(*_of_documents(Workspace(spark, sf_dir))).select("a", "b", F.col("weight").cast("double").alias("weight"))
 
 
 def symbol_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,9 +191,8 @@ def in_out_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = StagedWorkspace(spark, sf_dir)
-    owners = w.documents.select(F.col("document_id").alias("node"), F.col("document_id").alias("owner")).unionByName(w.symbols.select(F.col("symbol_id").alias("node"), F.col("document_id").alias("owner")))
-    found = R.document_importance(R.rolled_up(payload_edges(w), owners, R.DOCUMENT), w.symbols)
+    w = Workspace(spark, sf_dir)
+    found = R.with_symbols(R.importance_of_documents(*_of_documents(w)), w.symbols)
     return found.select("node", F.col("importance").cast("double").alias("importance"))
 
 

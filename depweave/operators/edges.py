@@ -36,18 +36,22 @@ def document_edges(observations: DataFrame, declarations: DataFrame, origin: Col
     declare is met once by each observing document. ``origin``: a column of observations; samples
     of the lowest one go before, as if edges of each origin had been merged in that order.
     """
-    rows = observations.where("source_document_id is not null and target_symbol_key is not null").repartition("target_symbol_key")
-    keys = [F.col("source_document_id").alias("source"), "target_symbol_key"]
-    if samples:
-        ordinal = F.struct((F.lit(0) if origin is None else origin).alias("origin"), F.col("ordinal").alias("at"))
-        folded = rows.withColumn("ordinal", ordinal).groupBy(*keys).agg(F.count("*").alias("n"), *first_sample(), _first_place().alias("ordinal"))
-    else:
-        folded = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    if not samples:
+        return counted(observed(observations), places(declarations)).where("source <> target")
+    ordinal = F.struct((F.lit(0) if origin is None else origin).alias("origin"), F.col("ordinal").alias("at"))
+    rows = observations.where("source_document_id is not null and target_symbol_key is not null").withColumn("ordinal", ordinal).repartition("target_symbol_key")
+    folded = rows.groupBy(F.col("source_document_id").alias("source"), "target_symbol_key").agg(F.count("*").alias("n"), *first_sample(), _first_place().alias("ordinal"))
     folded = folded.withColumnsRenamed({"sample_file": "file", "sample_line": "line", "sample_snippet": "snippet"})
-    pairs = counted(folded, places(declarations), samples=samples).where("source <> target")
+    pairs = counted(folded, places(declarations), samples=True).where("source <> target")
     return pairs.withColumnsRenamed({"file": "sample_file", "line": "sample_line", "snippet": "sample_snippet"})
 
 
+def observed(observations: DataFrame, *more: str) -> DataFrame:
+    """``source, target_symbol_key, n`` and more columns of observations: how often a document observes a key."""
+    rows = observations.where("source_document_id is not null and target_symbol_key is not null").repartition("target_symbol_key")
+    return rows.groupBy(F.col("source_document_id").alias("source"), "target_symbol_key", *more).agg(F.count("*").alias("n"))
+
+
 def dominant_kinds(observations: DataFrame, declarations: DataFrame) -> DataFrame:
     """``source, target, reference_kind, reference_count``: for each pair of documents the most frequent kind, see ``dominant_kind``, and the count of all kinds."""
     rows = observations.where("target_symbol_key is not null").repartition("target_symbol_key")

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depweave.functions.columns import ci
@@ -21,7 +21,6 @@ from depweave.functions.columns import ci
 PAIRS = 1 << 19
 #: Rows that are looked at before pairs are counted.
 ROWS = 2048
-_LISTS = "target_symbol_key string, prefix string, packed binary"
 
 
 def packed(values: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,28 +60,34 @@ def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
     return found.indices.to_numpy().astype(np.int64), found.dictionary
 
 
-def places(declarations: DataFrame) -> DataFrame:
-    """``target_symbol_key, prefix, packed``: the different documents that declare a key (``symbol_key, document_id``), by what their ids begin with.
+def parted(id_: str) -> tuple[Column, Column]:
+    """What an id begins with, and the number that it ends in; an id without one is its beginning."""
+    digits = F.regexp_extract(id_, r"(?:0|[1-9][0-9]{0,17})$", 0)
+    return F.left(F.col(id_), F.length(id_) - F.length(digits)).alias("prefix"), F.nullif(digits, F.lit("")).cast("long").alias("number")
+
+
+def places(declarations: DataFrame, far: list[str] | None = None) -> DataFrame:
+    """``target_symbol_key, prefix, packed`` and the columns ``far``: the different documents that declare a key (``symbol_key, document_id``), by what their ids begin with.
 
     An id that ends in a number is a prefix and that number, any other a prefix alone, with no
-    list. A long list comes in several rows.
+    list. A long list comes in several rows. ``far``: columns of declarations that a document has once.
     """
-    digits = F.regexp_extract("document_id", r"(?:0|[1-9][0-9]{0,17})$", 0)
-    prefix = F.left("document_id", F.length("document_id") - F.length(digits))
-    rows = declarations.where("symbol_key is not null").select(F.col("symbol_key").alias("target_symbol_key"), prefix.alias("prefix"), F.nullif(digits, F.lit("")).cast("long").alias("number"))
-    by = ["target_symbol_key", "prefix", "number"]
-    return rows.repartition("target_symbol_key").sortWithinPartitions(*by).mapInArrow(_lists, _LISTS)
+    far = far or []
+    rows = declarations.where("symbol_key is not null").select(F.col("symbol_key").alias("target_symbol_key"), *parted("document_id"), *far)
+    placed = rows.repartition("target_symbol_key").sortWithinPartitions("target_symbol_key", "prefix", *far, "number")
+    out = ["target_symbol_key string", "prefix string", "packed binary", *(f"{c} {t}" for c, t in rows.dtypes if c in far)]
+    return placed.mapInArrow(lambda batches: _lists(batches, far), ", ".join(out))
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lists(batches: Iterator[pa.RecordBatch], far: list[str]) -> Iterator[pa.RecordBatch]:
     """Lists from rows that come sorted; repeated rows are one."""
     last = None
     for batch in batches:
         rows = pa.Table.from_batches([batch])
         if not len(rows):
             continue
-        (key, _), (prefix, _), number = _codes(rows["target_symbol_key"]), _codes(rows["prefix"]), pc.fill_null(rows["number"], -1).to_numpy()
-        of = np.append(True, (np.diff(key) != 0) | (np.diff(prefix) != 0) | (np.diff(number < 0)))
+        number = pc.fill_null(rows["number"], -1).to_numpy()
+        of = np.append(True, np.any([np.diff(x) != 0 for x in (number < 0, *(_codes(rows[c])[0] for c in ("target_symbol_key", "prefix", *far)))], axis=0))
         new = of | np.append(True, np.diff(number) != 0)
         new[0] = rows.slice(0, 1).to_pylist() != last
         last = rows.slice(len(rows) - 1).to_pylist()
@@ -95,26 +100,33 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = pa.Array.from_buffers(pa.binary(), len(firsts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
         chosen = rows.take(at[firsts])
         lists = pc.if_else(pa.array(number[at[firsts]] >= 0), lists, pa.scalar(None, pa.binary()))
-        yield from pa.table([chosen["target_symbol_key"], chosen["prefix"], lists], names=["target_symbol_key", "prefix", "packed"]).to_batches()
+        yield from pa.table({"target_symbol_key": chosen["target_symbol_key"], "prefix": chosen["prefix"], "packed": lists} | {c: chosen[c] for c in far}).to_batches()
 
 
-def counted(folded: DataFrame, places: DataFrame, kind: str | None = None, samples: bool = False) -> DataFrame:
+def counted(
+    folded: DataFrame, places: DataFrame, kind: str | None = None, samples: bool = False, near: list[str] | None = None, far: list[str] | None = None, more: DataFrame | None = None,
+) -> DataFrame:
     """``source, target, reference_count``: each pair of an observing document and one that declares what it observes, with the sum of ``n``.
 
     ``folded``: ``source, target_symbol_key, n``. With ``samples`` also ``ordinal, file, line, snippet``, of
     which a pair has those of the least ordinal that is not null, ties by snippet, file and line.
     With ``kind``, a column of folded, a pair has the kind of the greatest sum, ties by upper case, then as it is.
+    ``near``, columns of folded, and ``far``, of places, that an observing or a declaring document has once, go along.
+    ``more``: ``source, target, n`` of pairs that are known already; without the columns before.
     All rows of an observing document meet in one task, some pairs at a time.
     """
     shown = ["file", "line", "snippet"] if samples else []
-    rows = folded.join(places, "target_symbol_key").select("source", "prefix", "packed", "n", *([kind, ci(kind).alias("_ci")] if kind else []), *(["ordinal", *shown] if samples else []))
+    kept = [*(near or []), *(far or []), *shown]
+    rows = folded.join(places, "target_symbol_key").select("source", "prefix", "packed", "n", *([kind, ci(kind).alias("_ci")] if kind else []), *(["ordinal"] if samples else []), *kept)
+    if more is not None:
+        rows = rows.unionByName(more.select("source", *parted("target"), "n"), allowMissingColumns=True)
     order = [F.asc_nulls_last("ordinal"), *(F.asc_nulls_first(c) for c in ("snippet", "file", "line"))] if samples else []
     rows = rows.repartition("source").sortWithinPartitions("source", *order)
     if samples:
         rows = rows.withColumns({c: F.when(F.col("ordinal").isNotNull(), F.col(c)) for c in shown}).drop("ordinal")
     types = dict(rows.dtypes)
-    out = [f"source {types['source']}", "target string", *([f"{kind} {types[kind]}"] if kind else []), "reference_count bigint", *(f"{c} {types[c]}" for c in shown)]
-    return rows.mapInArrow(lambda batches: _pairs(batches, kind, shown), ", ".join(out))
+    out = [f"source {types['source']}", "target string", *([f"{kind} {types[kind]}"] if kind else []), "reference_count bigint", *(f"{c} {types[c]}" for c in kept)]
+    return rows.mapInArrow(lambda batches: _pairs(batches, kind, kept), ", ".join(out))
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], kind: str | None, shown: list[str]) -> Iterator[pa.RecordBatch]:
@@ -143,14 +155,15 @@ def _sizes(rows: pa.Table) -> np.ndarray:
 
 
 def _unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of all lists, -1 for none, and the row of each."""
+    """The numbers of all lists, for a row without one its own number or -1, and the row of each."""
     lists = rows["packed"].cast(pa.large_binary()).combine_chunks()
     none = np.flatnonzero(pc.is_null(lists).to_numpy(zero_copy_only=False))
     lists = pc.fill_null(lists, b"") if len(none) else lists
     offsets = np.frombuffer(lists.buffers()[1], np.int64)[lists.offset : lists.offset + len(lists) + 1]
     data = np.frombuffer(lists.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
     numbers, sizes = unpacked(data, offsets - offsets[0])
-    return np.append(numbers, np.full(len(none), -1)), np.append(np.repeat(np.arange(len(lists)), sizes), none)
+    single = pc.fill_null(rows["number"], -1).to_numpy()[none] if "number" in rows.column_names else np.full(len(none), -1)
+    return np.append(numbers, single), np.append(np.repeat(np.arange(len(lists)), sizes), none)
 
 
 def _folded(keys: list[np.ndarray], count: np.ndarray, row: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:

@@ -46,9 +46,8 @@ def edges(*sources: DataFrame, unique: list[DataFrame] | None = None) -> DataFra
 
     ``unique``: sources of kinds of their own in which no identity repeats; they are added as they are.
     """
-    found = first_by(reduce(DataFrame.unionByName, sources), EDGE_IDENTITY).drop("ordinal")
-    for more in unique or []:
-        found = found.unionByName(more.drop("ordinal"))
+    parts = [first_by(reduce(DataFrame.unionByName, sources), EDGE_IDENTITY).drop("ordinal")] if sources else []
+    found = reduce(DataFrame.unionByName, parts + [more.drop("ordinal") for more in unique or []])
     return found.withColumn("id", edge_id("kind", "source", "target", "reference_kind", "confidence"))
 
 
@@ -62,6 +61,21 @@ def between(edges: DataFrame, visible: DataFrame, node: str = "id") -> DataFrame
     return edges.join(ids, F.col("source") == F.col("_id"), "left_semi").join(ids, F.col("target") == F.col("_id"), "left_semi")
 
 
+def among(rows: DataFrame, column: str, ids: DataFrame, most: int = BROADCAST_NODES) -> DataFrame:
+    """Rows whose column is one of the ids (a table of one column).
+
+    Many rows stay where they are: the ids are broadcast or, if they are more than ``most``, what the
+    rows have besides, which is often little; only if both are many, rows are dealt.
+    """
+    ids = stage(ids.toDF("_id").distinct(), "ids")
+    if ids.count() <= most:
+        return rows.join(F.broadcast(ids), F.col(column) == F.col("_id"), "left_semi")
+    others = stage(rows.where(F.col(column).isNotNull()).select(F.col(column).alias("_other")).distinct().join(ids, F.col("_other") == F.col("_id"), "left_anti"), "others")
+    if others.count() <= most:
+        return rows.where(F.col(column).isNotNull()).join(F.broadcast(others), F.col(column) == F.col("_other"), "left_anti")
+    return rows.join(ids, F.col(column) == F.col("_id"), "left_semi")
+
+
 def capped_symbols(rows: DataFrame, cap: int = 3000) -> DataFrame:
     """The first ``cap`` rows in the order of ``ordinal``, with ``rank``; a repeated id uses up a place as well.
 
@@ -78,7 +92,7 @@ def referenced_projects(references: DataFrame, projects: DataFrame) -> DataFrame
 
 
 def stats(projects: DataFrame, documents: DataFrame, symbols: DataFrame, native: DataFrame, document_edges: DataFrame, symbol_edges: DataFrame, cycles: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row of ten counts; documents and symbols count whether shown or not, edges after duplicates went."""
+    """One row of ten counts; documents and symbols count whether shown or not, edges after duplicates went. ``edges``: all but those between documents."""
     count = lambda df, name: df.agg(F.count("*").alias(name))
     kind = lambda k: F.count_if(F.lower("graph_kind") == k).alias(f"{k}_cycle_count")
     parts = [
@@ -86,7 +100,7 @@ def stats(projects: DataFrame, documents: DataFrame, symbols: DataFrame, native:
         count(document_edges, "document_dependency_count"), count(symbol_edges, "symbol_dependency_count"),
         cycles.agg(kind("project"), kind("document"), kind("symbol")), count(edges, "edge_count"),
     ]
-    return beside(*parts)
+    return beside(*parts).withColumn("edge_count", F.col("edge_count") + F.col("document_dependency_count"))
 
 
 def as_json(nodes: DataFrame, edges: DataFrame, ordinal: str = "id") -> DataFrame:

@@ -7,8 +7,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from depweave.operators import arrange as A
 from depweave.operators import edges as E
+from depweave.operators import graph as G
 from depweave.operators import pairs as P
+from depweave.operators import payload as Y
+from depweave.operators import rollup as R
+from depweave.operators import view as V
 
 from .conftest import rows
 
@@ -120,3 +125,27 @@ def test_dominant_kinds_of_any_ids(spark, parts):
     seen, declared = hot(spark)
     found = E.dominant_kinds(seen, declared)
     assert found.count() == 2_000_000 and shuffled(spark, found) < 4_000_000
+
+
+def known(spark):
+    """The hot documents, and no edges between symbols."""
+    seen, declared = hot(spark)
+    edges = spark.createDataFrame([], "source string, target string, kind string, weight long")
+    return seen, declared, edges, spark.createDataFrame([], "node string, owner string")
+
+
+def test_documents_roll_up_without_shuffled_pairs(spark, parts):
+    """With edges between symbols among them, one of a pair that documents have as well, one of a new pair, one within a document."""
+    seen, declared, (obs, decl) = some(spark, 9)
+    edges = spark.createDataFrame([("s1", "s2", "symbol-call", 2), ("s1", "s3", "symbol-creation", 1), ("s2", "s4", "symbol-call", 9), ("s1", "s2", "other", 5), ("s1", "gone", "symbol-call", 1)], "source string, target string, kind string, weight long")
+    owners = spark.createDataFrame([("s1", "d1"), ("s2", "d2"), ("s3", "new7"), ("s4", "d2")], "node string, owner string")
+    want = Counter()
+    for s, t, *_ in pairs(seen, declared):
+        if s is not None and t is not None and s != t:
+            want[s, t] += 34
+    want["d1", "d2"] += 56
+    want["d1", "new7"] += 22
+    found = R.rolled_up_documents(obs, decl, edges, owners, R.DOCUMENT)
+    assert rows(found.withColumn("weight", (F.col("weight") * 10).cast("long"))) == sorted(((*k, n) for k, n in want.items()), key=repr)
+    hot_ = R.rolled_up_documents(*known(spark), R.DOCUMENT)
+    assert hot_.count() == 2_000_000 and shuffled(spark, hot_) < 4_000_000
