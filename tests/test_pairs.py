@@ -149,3 +149,19 @@ def test_documents_roll_up_without_shuffled_pairs(spark, parts):
     assert rows(found.withColumn("weight", (F.col("weight") * 10).cast("long"))) == sorted(((*k, n) for k, n in want.items()), key=repr)
     hot_ = R.rolled_up_documents(*known(spark), R.DOCUMENT)
     assert hot_.count() == 2_000_000 and shuffled(spark, hot_) < 4_000_000
+
+
+def test_importance_makes_no_pairs(spark):
+    """As the importance of rolled up documents; a document that observes what it alone declares has none."""
+    seen, declared, (obs, decl) = some(spark, 9)
+    more = spark.createDataFrame([("own", "only", None, 1, None, None, None)], obs.schema)
+    obs, decl = obs.unionByName(more), decl.unionByName(spark.createDataFrame([("only", "own", 1)], decl.schema))
+    edges = spark.createDataFrame([("s1", "s2", "symbol-call", 2), ("s2", "s1", "symbol-creation", 1)], "source string, target string, kind string, weight long")
+    owners = spark.createDataFrame([("s1", "d1"), ("s2", "new7")], "node string, owner string")
+    want = R.importance(R.rolled_up_documents(obs, decl, edges, owners, R.DOCUMENT))
+    text = lambda df: rows(df.select("node", F.col("importance").cast("double").alias("i")))
+    assert text(R.importance_of_documents(obs, decl, edges, owners, R.DOCUMENT)) == text(want) and "own" not in dict(text(want))
+    seen, declared, edges, owners = known(spark)
+    far = spark.range(200_000).select(F.lit("k").alias("symbol_key"), F.concat(F.lit("c"), "id").alias("document_id"), F.col("id").alias("ordinal"))
+    found = R.importance_of_documents(seen, declared.unionByName(far), edges, owners, R.DOCUMENT).agg(F.sum("importance").cast("double")).first()[0]
+    assert found == 2 * 3.4 * 400 * 205_000  # 82 million pairs
