@@ -13,7 +13,7 @@ from depweave.operators import edges as E
 from depweave.operators import graph as G
 from depweave.operators import payload as P
 from depweave.plans.staging import stage
-from depweave.sources.workspace import StagedWorkspace, Workspace
+from depweave.sources.workspace import Workspace
 
 
 def symbol_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,9 +67,9 @@ def payload_nodes(w: Workspace) -> DataFrame:
     )
 
 
-def payload_edges(w: Workspace) -> DataFrame:
+def other_edges(w: Workspace) -> DataFrame:
+    """Edges of the payload but those between documents."""
     pk = ids.node_id("project", "project_key")
-    docs = E.document_edges(w.observations, w.declared, samples=False)
     syms = E.symbol_edges(w.observations, w.declarations)
     return P.edges(
         P.edge_rows(w.documents, pk, F.col("document_id"), "contains-document"),
@@ -77,11 +77,19 @@ def payload_edges(w: Workspace) -> DataFrame:
         P.edge_rows(w.packages, pk, ids.node_id("package", "name"), "project-package"),
         P.edge_rows(w.assemblies, pk, ids.node_id("assembly", "name"), "project-assembly"),
         P.edge_rows(w.project_references, ids.node_id("project", "source"), ids.node_id("project", "target"), "project-reference"),
-        unique=[P.edge_rows(docs, F.col("source"), F.col("target"), "document-reference", F.col("reference_count")),
-        P.edge_rows(syms, F.col("source"), F.col("target"), ids.symbol_edge_kind("reference_kind"), F.col("reference_count"), "reference_kind", "confidence")],
+        unique=[P.edge_rows(syms, F.col("source"), F.col("target"), ids.symbol_edge_kind("reference_kind"), F.col("reference_count"), "reference_kind", "confidence")],
     )
 
 
+def of_documents(edges: DataFrame) -> DataFrame:
+    """Edges between documents as edges of the payload; in them no identity repeats."""
+    return P.edges(unique=[P.edge_rows(edges, F.col("source"), F.col("target"), "document-reference", F.col("reference_count"))])
+
+
+def payload_edges(w: Workspace) -> DataFrame:
+    return other_edges(w).unionByName(of_documents(E.document_edges(w.observations, w.declared, samples=False)))
+
+
 def project_members(w: Workspace) -> DataFrame:
     """Members of project cycles, by the ids of their nodes."""
     found = G.components_of_cycles(w.project_references)
@@ -96,8 +104,10 @@ def node_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edge_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = StagedWorkspace(spark, sf_dir)
-    rows = P.between(payload_edges(w), payload_nodes(w))
+    w = Workspace(spark, sf_dir)
+    known = w.documents.select("document_id")
+    docs = E.document_edges(P.among(w.observations, "source_document_id", known), P.among(w.declared, "document_id", known), samples=False)
+    rows = P.between(other_edges(w), payload_nodes(w)).unionByName(of_documents(docs))
     return G.flag_cycles(rows, project_members(w)).select("id", "source", "target", "kind", "weight", "reference_kind", "confidence", "is_cycle_edge")
 
 
@@ -108,12 +118,15 @@ def payload_symbol_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = StagedWorkspace(spark, sf_dir)
-    docs, syms = E.document_edges(w.observations, w.declared, samples=False).select("source", "target"), E.symbol_edges(w.observations, w.declarations).select("source", "target")
-    docs, syms = stage(docs, "documents"), stage(syms, "symbols")
+    w = Workspace(spark, sf_dir)
+    # Only documents that observe and declare are in cycles, so only edges between these are written down.
+    ends = P.among(w.observations, "source_document_id", w.declared.select("document_id")), P.among(w.declared, "document_id", w.observations.select("source_document_id"))
+    docs = stage(E.document_edges(*ends, samples=False).select("source", "target"), "documents")
+    syms = stage(E.symbol_edges(w.observations, w.declarations).select("source", "target"), "symbols")
     found = [G.cycles(edges, G.components_of_cycles(edges), kind) for kind, edges in (("project", w.project_references), ("document", docs), ("symbol", syms))]
     cycles = found[0].unionByName(found[1]).unionByName(found[2])
-    return P.stats(w.projects, w.documents, w.symbols, E.native_rollup(_native(w)), docs, syms, cycles, payload_edges(w))
+    every = E.document_edges(w.observations, w.declared, samples=False)
+    return P.stats(w.projects, w.documents, w.symbols, E.native_rollup(_native(w)), every, syms, cycles, other_edges(w))
 
 
 def phantom_projects(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,3 +165,18 @@ def test_importance_makes_no_pairs(spark):
     far = spark.range(200_000).select(F.lit("k").alias("symbol_key"), F.concat(F.lit("c"), "id").alias("document_id"), F.col("id").alias("ordinal"))
     found = R.importance_of_documents(seen, declared.unionByName(far), edges, owners, R.DOCUMENT).agg(F.sum("importance").cast("double")).first()[0]
     assert found == 2 * 3.4 * 400 * 205_000  # 82 million pairs
+
+
+@pytest.mark.parametrize("most", [100, 2, 0])
+def test_ends_are_chosen_before_pairs_are_made(spark, most):
+    """Rows among ids, by few ids, by few others or by a shuffle: all the same."""
+    _, _, (obs, decl) = some(spark, 11)
+    ids = spark.createDataFrame([(x,) for x in [*IDS[:-2], "none", "none", None]], "id string")
+    assert rows(Y.among(obs, "source_document_id", ids, most)) == rows(obs.where(F.col("source_document_id").isin(IDS[:-2])))
+    edges = E.document_edges(Y.among(obs, "source_document_id", ids, most), Y.among(decl, "document_id", ids, most), samples=False)
+    assert rows(edges) == rows(Y.between(E.document_edges(obs, decl, samples=False), ids))
+    seen, declared = hot(spark)
+    found = E.document_edges(Y.among(seen, "source_document_id", declared.select("document_id")), declared, samples=False)
+    assert found.count() == 0
+    found = G.flag_cycles(E.document_edges(Y.among(seen, "source_document_id", seen.select("source_document_id")), declared, samples=False), spark.createDataFrame([("b1", "x")], "node string, component string"))
+    assert shuffled(spark, found) < 4_000_000
