@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from depweave.catalog import edges as CE
 from depweave.catalog import graphs as CG
-from depweave.catalog.edges import payload_edges, payload_nodes
+from depweave.catalog.edges import other_edges, payload_nodes
 from depweave.catalog.graphs import upper_graph
 from depweave.catalog.sql import GRAPH, facts, node
 from depweave.functions import ids
@@ -123,8 +123,9 @@ def cluster_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edge_springs(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Workspace(spark, sf_dir)
-    sizes = payload_nodes(w).select("id", (20.0 + F.length("label") * 3.5).alias("half_width"), F.when(F.col("group") == "project", 24.0).otherwise(12.0).alias("padding"))
-    return A.springs(payload_edges(w), sizes).select("source", "target", "kind", "length", F.round("stiffness", 6).alias("stiffness"))
+    sizes = payload_nodes(w).select("id", "group", (20.0 + F.length("label") * 3.5).alias("half_width"), F.when(F.col("group") == "project", 24.0).otherwise(12.0).alias("padding"))
+    docs = A.document_springs(w.observations, w.declared, sizes.where("group = 'document'"))
+    return A.springs(other_edges(w), sizes).unionByName(docs).select("source", "target", "kind", "length", F.round("stiffness", 6).alias("stiffness"))
 
 
 def structured_massive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +225,10 @@ def fallback_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Workspace(spark, sf_dir)
-    return V.search_edges(payload_edges(w), V.graph_search(payload_nodes(w), "order1")).select("source", "target", "kind", "dimmed")
+    found = V.graph_search(payload_nodes(w), "order1")
+    docs = V.search_document_edges(w.observations, w.declared, found.where("group = 'document'")).withColumn("kind", F.lit("document-reference"))
+    columns = ["source", "target", "kind", "dimmed"]
+    return V.search_edges(other_edges(w), found).select(*columns).unionByName(docs.select(*columns))
 
 
 def payload_json(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from depweave.operators.edges import observed
 from depweave.operators.graph import kind_rank
+from depweave.operators.pairs import counted, places
 from depweave.plans.numbering import numbered
 
 #: Groups of nodes in the order in which they are placed.
@@ -74,8 +76,22 @@ def springs(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     ``sizes``: ``id, half_width, padding``. Loops and edges of unknown nodes drop out. The length is at least
     64 and leaves 32 beyond what both nodes need; weight stiffens by its logarithm, twofold at most.
     """
-    of = lambda end, p: sizes.select(F.col("id").alias(end), F.col("half_width").alias(f"_w{p}"), F.col("padding").alias(f"_p{p}"))
-    rows = edges.where("source <> target").join(of("source", 1), "source").join(of("target", 2), "target")
+    return _springs(edges.where("source <> target").join(_sizes(sizes, "source", 1), "source").join(_sizes(sizes, "target", 2), "target"))
+
+
+def document_springs(observations: DataFrame, declarations: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Springs of the edges between documents (``sizes`` of documents); each end has its size before pairs are made."""
+    said = observations.join(_sizes(sizes, "source_document_id", 1), "source_document_id")
+    known = declarations.join(_sizes(sizes, "document_id", 2), "document_id")
+    found = counted(observed(said, "_w1", "_p1"), places(known, ["_w2", "_p2"]), near=["_w1", "_p1"], far=["_w2", "_p2"])
+    return _springs(found.where("source <> target").select("source", "target", F.lit("document-reference").alias("kind"), F.col("reference_count").alias("weight"), "_w1", "_p1", "_w2", "_p2"))
+
+
+def _sizes(sizes: DataFrame, end: str, p: int) -> DataFrame:
+    return sizes.select(F.col("id").alias(end), F.col("half_width").alias(f"_w{p}"), F.col("padding").alias(f"_p{p}"))
+
+
+def _springs(rows: DataFrame) -> DataFrame:
     pick = lambda table, rest: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), F.col("kind")), F.lit(rest))
     room = F.col("_w1") + F.col("_w2") + F.greatest("_p1", "_p2") + 32.0
     pull = F.least(F.lit(2.0), 1.0 + 0.1 * F.ln(F.greatest(F.lit(1), F.coalesce("weight", F.lit(1))) + 1.0))

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depweave.functions.columns import ci
-from depweave.operators.payload import between
+from depweave.operators.edges import document_edges, observed
+from depweave.operators.pairs import counted, places
+from depweave.operators.payload import BROADCAST_NODES, among, between
+from depweave.plans.staging import stage
 
 SYMBOL_KINDS = ("symbol-reference", "symbol-call", "symbol-inheritance", "symbol-implementation", "symbol-creation")
 
@@ -72,6 +75,12 @@ def visible_edges(edges: DataFrame, shown: DataFrame, view: View) -> DataFrame:
     return between(kept, shown)
 
 
+def visible_document_edges(observations: DataFrame, declarations: DataFrame, shown: DataFrame, view: View) -> DataFrame:
+    """Edges between documents that the view shows (``shown``: their ids); others are left out before pairs are made. Which are in cycles the caller knows."""
+    edges = document_edges(among(observations, "source_document_id", shown), among(declarations, "document_id", shown), samples=False)
+    return edges if view.document_dependencies else edges.limit(0)
+
+
 def symbol_search(rows: DataFrame, query: str, fields: tuple[str, ...] = ("display_name", "name", "project_name", "document_name", "kind_label", "kind"), hidden: DataFrame | None = None) -> DataFrame:
     """Rows that have the query in one of the fields, whatever the case; a blank query finds all."""
     found = rows
@@ -97,6 +106,15 @@ def search_edges(edges: DataFrame, matches: DataFrame) -> DataFrame:
     return one.withColumn("dimmed", ~(F.coalesce("_h1", F.lit(False)) | F.coalesce("_h2", F.lit(False)))).drop("_h1", "_h2")
 
 
+def search_document_edges(observations: DataFrame, declarations: DataFrame, matches: DataFrame) -> DataFrame:
+    """Edges between documents with ``dimmed``, see ``search_edges``; each end is looked up before pairs are made."""
+    ids = stage(matches.select(F.col("id").alias("_id")).distinct(), "matches")
+    ids = (F.broadcast(ids) if ids.count() <= BROADCAST_NODES else ids).withColumn("_hit", F.lit(True))
+    hit = lambda rows, end, name: rows.join(ids, F.col(end) == F.col("_id"), "left").withColumn(name, F.coalesce("_hit", F.lit(False))).drop("_id", "_hit")
+    found = counted(observed(hit(observations, "source_document_id", "_h1"), "_h1"), places(hit(declarations, "document_id", "_h2"), ["_h2"]), near=["_h1"], far=["_h2"])
+    return found.where("source <> target").select("source", "target", "reference_count", (~(F.col("_h1") | F.col("_h2"))).alias("dimmed"))
+
+
 def tree_filter(items: DataFrame, projects: DataFrame, query: str, workspace_name: str = "") -> DataFrame:
     """Items (``project_key, section, label``) of the explorer tree that a query leaves.
 

@@ -180,3 +180,13 @@ def test_ends_are_chosen_before_pairs_are_made(spark, most):
     assert found.count() == 0
     found = G.flag_cycles(E.document_edges(Y.among(seen, "source_document_id", seen.select("source_document_id")), declared, samples=False), spark.createDataFrame([("b1", "x")], "node string, component string"))
     assert shuffled(spark, found) < 4_000_000
+
+
+def test_springs_have_the_sizes_of_their_ends(spark, parts):
+    _, _, (obs, decl) = some(spark, 13)
+    sizes = spark.createDataFrame([(x, 20.0 + 5 * i, 6.0 * (i % 3)) for i, x in enumerate(IDS[:-1])], "id string, half_width double, padding double")
+    edges = E.document_edges(obs, decl, samples=False).select("source", "target", F.lit("document-reference").alias("kind"), F.col("reference_count").alias("weight"))
+    assert rows(A.document_springs(obs, decl, sizes)) == rows(A.springs(edges, sizes))
+    seen, declared = hot(spark)
+    every = seen.select(F.col("source_document_id").alias("id")).union(declared.select("document_id")).withColumns({"half_width": F.length("id") * 1.0, "padding": F.lit(1.0)})
+    assert shuffled(spark, A.document_springs(seen, declared, every)) < 4_000_000
