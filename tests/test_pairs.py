@@ -190,3 +190,12 @@ def test_springs_have_the_sizes_of_their_ends(spark, parts):
     seen, declared = hot(spark)
     every = seen.select(F.col("source_document_id").alias("id")).union(declared.select("document_id")).withColumns({"half_width": F.length("id") * 1.0, "padding": F.lit(1.0)})
     assert shuffled(spark, A.document_springs(seen, declared, every)) < 4_000_000
+
+
+def test_searched_edges_know_their_ends(spark, parts):
+    _, _, (obs, decl) = some(spark, 15)
+    hits = spark.createDataFrame([("d1",), ("d2",), ("007",), ("none",)], "id string")
+    assert rows(V.search_document_edges(obs, decl, hits)) == rows(V.search_edges(E.document_edges(obs, decl, samples=False), hits), "source", "target", "reference_count", "dimmed")
+    seen, declared = hot(spark)
+    found = V.search_document_edges(seen, declared, declared.select(F.col("document_id").alias("id")).where("id < 'b2'"))
+    assert found.where("not dimmed").count() == 400 * 1112 and shuffled(spark, found) < 4_000_000
