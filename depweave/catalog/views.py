@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depweave.catalog.edges import payload_edges, payload_nodes, project_members
+from depweave.catalog.edges import of_documents, other_edges, payload_nodes, project_members
 from depweave.catalog.graphs import upper_graph
 from depweave.catalog.sql import CYCLES, GRAPH, facts, node
 from depweave.functions import ids
@@ -31,7 +31,9 @@ def visible_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def visible_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Workspace(spark, sf_dir)
-    return V.visible_edges(payload_edges(w), stage(_shown(w).select("id"), "shown"), _VIEW).select("source", "target", "kind", "reference_kind", "confidence", "weight")
+    shown = stage(_shown(w).select("id", "group"), "shown")
+    docs = V.visible_document_edges(w.observations, w.declared, shown.where("group = 'document'").select("id"), _VIEW)
+    return V.visible_edges(other_edges(w), shown.select("id"), _VIEW).unionByName(of_documents(docs)).select("source", "target", "kind", "reference_kind", "confidence", "weight")
 
 
 def cycles_only_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

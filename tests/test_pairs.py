@@ -199,3 +199,14 @@ def test_searched_edges_know_their_ends(spark, parts):
     seen, declared = hot(spark)
     found = V.search_document_edges(seen, declared, declared.select(F.col("document_id").alias("id")).where("id < 'b2'"))
     assert found.where("not dimmed").count() == 400 * 1112 and shuffled(spark, found) < 4_000_000
+
+
+def test_visible_document_edges(spark):
+    _, _, (obs, decl) = some(spark, 17)
+    shown = spark.createDataFrame([(x,) for x in IDS[::2]], "id string")
+    want = E.document_edges(obs, decl, samples=False).where(F.col("source").isin(IDS[::2]) & F.col("target").isin(IDS[::2]))
+    assert rows(V.visible_document_edges(obs, decl, shown, V.View())) == rows(want) and want.count()
+    assert V.visible_document_edges(obs, decl, shown, V.View(document_dependencies=False)).count() == 0
+    seen, declared = hot(spark)
+    every = seen.select(F.col("source_document_id").alias("id")).union(declared.select("document_id"))
+    assert shuffled(spark, V.visible_document_edges(seen, declared, every, V.View())) < 4_000_000
