@@ -18,7 +18,7 @@ from depweave.sources.workspace import Workspace
 
 def symbol_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Workspace(spark, sf_dir)
-    return E.ordered(E.symbol_edges(w.observations, w.declarations))
+    return E.ordered(E.symbol_edges(w.observations, w.declared))
 
 
 def document_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def payload_nodes(w: Workspace) -> DataFrame:
 def other_edges(w: Workspace) -> DataFrame:
     """Edges of the payload but those between documents."""
     pk = ids.node_id("project", "project_key")
-    syms = E.symbol_edges(w.observations, w.declarations)
+    syms = E.symbol_edges(w.observations, w.declared)
     return P.edges(
         P.edge_rows(w.documents, pk, F.col("document_id"), "contains-document"),
         P.edge_rows(w.symbols, F.col("document_id"), F.col("symbol_id"), "contains-symbol"),
@@ -122,7 +122,7 @@ def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Only documents that observe and declare are in cycles, so only edges between these are written down.
     ends = P.among(w.observations, "source_document_id", w.declared.select("document_id")), P.among(w.declared, "document_id", w.observations.select("source_document_id"))
     docs = stage(E.document_edges(*ends, samples=False).select("source", "target"), "documents")
-    syms = stage(E.symbol_edges(w.observations, w.declarations).select("source", "target"), "symbols")
+    syms = stage(E.symbol_edges(w.observations, w.declared).select("source", "target"), "symbols")
     found = [G.cycles(edges, G.components_of_cycles(edges), kind) for kind, edges in (("project", w.project_references), ("document", docs), ("symbol", syms))]
     cycles = found[0].unionByName(found[1]).unionByName(found[2])
     every = E.document_edges(w.observations, w.declared, samples=False)

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from depweave.functions.columns import blank_to_null, ci
 from depweave.functions.ids import confidence, reference_kind
 from depweave.operators.pairs import counted, places
+from depweave.plans.staging import stage
 
+#: Keys with several symbols up to which they are broadcast.
+BROADCAST_KEYS = 500_000
 DOCUMENT_EDGE, SYMBOL_EDGE = ("source", "target"), ("source", "target", "reference_kind", "confidence")
 
 
@@ -71,18 +74,32 @@ def symbol_edges(observations: DataFrame, declarations: DataFrame) -> DataFrame:
     The target is the first declaration of the target's key; the source is the declaration of the
     source's key in the observing document, else its first. Observations without a source, with an
     end that is declared nowhere, or of a symbol by itself, drop out.
+    Observations are folded by keys where they meet the first declarations of their sources. Keys with several symbols are
+    looked for first: without any, and with a symbol of its own for each key, what is folded are the edges.
     """
-    first = first_declarations(declarations)
-    here = declarations.groupBy("symbol_key", "document_id").agg(F.min_by("symbol_id", "ordinal").alias("here"))
-    rows = observations.where("source_symbol_key is not null").withColumns({"reference_kind": reference_kind("reference_kind"), "confidence": confidence("confidence")})
-    joined = (
-        rows.join(first.select(F.col("symbol_key").alias("target_symbol_key"), F.col("symbol_id").alias("target")), "target_symbol_key")
-        .join(first.select(F.col("symbol_key").alias("source_symbol_key"), F.col("symbol_id").alias("elsewhere")), "source_symbol_key")
-        .join(here.select(F.col("symbol_key").alias("source_symbol_key"), F.col("document_id").alias("source_document_id"), "here"), ["source_symbol_key", "source_document_id"], "left")
-        .withColumn("source", F.coalesce("here", "elsewhere"))
-        .where("source <> target")
-    )
-    return joined.groupBy(*SYMBOL_EDGE).agg(F.count("*").alias("reference_count"), *first_sample())
+    ids = F.col("symbol_id")
+    firsts = declarations.groupBy("symbol_key").agg(
+        F.min(F.struct("ordinal", "symbol_id"))["symbol_id"].alias("symbol_id"), (F.min(ids).eqNullSafe(F.max(ids)) & (F.count(ids) == F.count("*"))).alias("one"),
+    )
+    firsts = stage(firsts, "firsts")
+    several = firsts.where("not one").select("symbol_key")
+    found = firsts.agg(F.count_if(~F.col("one")).alias("several"), F.count("*").alias("n"), F.count_distinct("symbol_id").alias("different")).first()
+    sample = ["file", "line", "snippet"]
+    rows = observations.where("source_symbol_key is not null and target_symbol_key is not null").repartition("source_symbol_key")
+    rows = rows.withColumns({"reference_kind": reference_kind("reference_kind"), "confidence": confidence("confidence")})
+    keys = ["source_symbol_key", "target_symbol_key", "reference_kind", "confidence", *(["source_document_id"] if found["several"] else [])]
+    folded = rows.groupBy(*keys).agg(F.count("*").alias("n"), *first_sample(), _first_place().alias("ordinal")).withColumnsRenamed({f"sample_{c}": c for c in sample})
+    of = lambda end, name: firsts.select(F.col("symbol_key").alias(end), F.col("symbol_id").alias(name))
+    joined = folded.join(of("source_symbol_key", "source"), "source_symbol_key")
+    if found["several"]:
+        few = F.broadcast(several) if found["several"] <= BROADCAST_KEYS else several
+        here = declarations.join(few, "symbol_key", "left_semi").groupBy("symbol_key", "document_id").agg(F.min_by("symbol_id", "ordinal").alias("here"))
+        here = here.select(F.col("symbol_key").alias("source_symbol_key"), F.col("document_id").alias("source_document_id"), "here")
+        joined = joined.join(here, ["source_symbol_key", "source_document_id"], "left").withColumn("source", F.coalesce("here", "source"))
+    joined = joined.join(of("target_symbol_key", "target"), "target_symbol_key").where("source <> target")
+    if not found["several"] and found["n"] == found["different"]:  # keys are symbols, so all is folded
+        return joined.select(*SYMBOL_EDGE, F.col("n").alias("reference_count"), *(F.col(c).alias(f"sample_{c}") for c in sample))
+    return joined.groupBy(*SYMBOL_EDGE).agg(F.sum("n").alias("reference_count"), *first_sample())
 
 
 def ordered(edges: DataFrame) -> DataFrame:
