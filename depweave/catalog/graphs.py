@@ -15,7 +15,7 @@ from depweave.operators import payload as P
 from depweave.operators import rollup as R
 from depweave.plans.numbering import numbered
 from depweave.plans.staging import stage
-from depweave.sources.workspace import StagedWorkspace, Workspace
+from depweave.sources.workspace import Workspace
 
 
 def project_scc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,11 +130,11 @@ def _project_owners(w: Workspace) -> DataFrame:
 
 
 def _project_weights(w: Workspace) -> DataFrame:
-    owners, syms = _project_owners(w), E.symbol_edges(w.observations, w.declarations)
+    owners, syms = _project_owners(w), E.symbol_edges(w.observations, w.declared)
     edges = P.edge_rows(w.project_references, ids.node_id("project", "source"), ids.node_id("project", "target"), "project-reference")
     edges = edges.unionByName(P.edge_rows(syms, F.col("source"), F.col("target"), ids.symbol_edge_kind("reference_kind"), F.col("reference_count"), "reference_kind", "confidence"))
     docs = w.documents.select(F.col("document_id").alias("node"), ids.node_id("project", "project_key").alias("owner"))
-    return R.added(R.rolled_up(edges, owners, R.PROJECT), R.rolled_up_references(w.observations, w.declarations, docs, R.PROJECT))
+    return R.added(R.rolled_up(edges, owners, R.PROJECT), R.rolled_up_references(w.observations, w.declared, docs, R.PROJECT))
 
 
 def _supplier_links(w: Workspace) -> DataFrame:
@@ -161,13 +161,13 @@ def topological_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def project_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _project_weights(StagedWorkspace(spark, sf_dir)).select("a", "b", F.col("weight").cast("double").alias("weight"))
+    return _project_weights(Workspace(spark, sf_dir)).select("a", "b", F.col("weight").cast("double").alias("weight"))
 
 
 def _of_documents(w: Workspace) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, dict[str, str]]:
     """Observations and declarations of known documents, edges between symbols, the documents of these, and what kinds count for."""
     ids_ = w.documents.select("document_id")
-    syms = E.symbol_edges(w.observations, w.declarations)
+    syms = E.symbol_edges(w.observations, w.declared)
     edges = P.edge_rows(syms, F.col("source"), F.col("target"), ids.symbol_edge_kind("reference_kind"), F.col("reference_count"), "reference_kind", "confidence")
     owners = w.symbols.select(F.col("symbol_id").alias("node"), F.col("document_id").alias("owner"))
     return P.among(w.observations, "source_document_id", ids_), P.among(w.declared, "document_id", ids_), edges, owners, R.DOCUMENT
@@ -178,11 +178,11 @@ def document_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def symbol_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.symbol_adjacency(payload_edges(StagedWorkspace(spark, sf_dir))).select("a", "b", F.col("weight").cast("double").alias("weight"))
+    return R.symbol_adjacency(payload_edges(Workspace(spark, sf_dir))).select("a", "b", F.col("weight").cast("double").alias("weight"))
 
 
 def node_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.importance(_project_weights(StagedWorkspace(spark, sf_dir))).select("node", F.col("importance").cast("double").alias("importance"))
+    return R.importance(_project_weights(Workspace(spark, sf_dir))).select("node", F.col("importance").cast("double").alias("importance"))
 
 
 def in_out_weights(spark: SparkSession, sf_dir: str) -> DataFrame:

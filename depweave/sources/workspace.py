@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from depweave.plans.staging import stage
-
 
 @dataclass(frozen=True)
 class Workspace:
@@ -117,19 +114,3 @@ class Workspace:
             .join(self.table("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
             .join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("project_key", "name").distinct()
         )
-
-
-class StagedWorkspace(Workspace):
-    """A workspace whose facts are worked out once, when a query first asks for them, and read from the staging folder from then on.
-
-    For queries that read the same facts several times; one that reads them once is better off without.
-    """
-
-    documents = cached_property(lambda self: stage(Workspace.documents.fget(self), "documents"))
-    declarations = cached_property(lambda self: stage(Workspace.declarations.fget(self), "declarations"))
-    symbols = cached_property(lambda self: stage(Workspace.symbols.fget(self), "symbols"))
-    declared = property(lambda self: self.declarations)
-    observations = cached_property(lambda self: stage(Workspace.observations.fget(self), "observations"))
-    project_references = cached_property(lambda self: stage(Workspace.project_references.fget(self), "references"))
-    packages = cached_property(lambda self: stage(Workspace.packages.fget(self), "packages"))
-    assemblies = cached_property(lambda self: stage(Workspace.assemblies.fget(self), "assemblies"))
